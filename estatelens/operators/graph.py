@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from estatelens.session import broadcast_if_small, checkpoint, row_bytes
 
+HOPS = 2
 COMPACT_EVERY = 8
 
 
@@ -23,7 +24,11 @@ def _settle(df: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Nodes ``(model_id, node)`` reachable from ``seeds (model_id, node)``, seeds included, along ``src -> dst``."""
+    """Nodes ``(model_id, node)`` reachable from ``seeds (model_id, node)``, seeds included, along ``src -> dst``.
+
+    One round follows HOPS edges and settles the nodes it met for the first time, so a graph of depth d costs about
+    d / HOPS jobs.
+    """
     edges = checkpoint(edges.select("model_id", "src", "dst"))
     frontier, n, size = _settle(seeds.select("model_id", "node").distinct())
     seen, rounds = frontier, 0
@@ -31,15 +36,23 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> Data
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        start = broadcast_if_small(frontier.withColumnRenamed("node", "src"), size)
-        step = edges.join(start, ["model_id", "src"]).select("model_id", F.col("dst").alias("node")).distinct()
-        frontier, n, size = _settle(step.join(seen, ["model_id", "node"], "left_anti"))
+        met = broadcast_if_small(frontier, size)
+        for _ in range(HOPS):
+            met = _follow(edges, met)
+        frontier, n, size = _settle(met.join(seen, ["model_id", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
         if rounds % COMPACT_EVERY == 0:
             seen = checkpoint(seen)
     return seen
 
 
+def _follow(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` and the nodes one edge further; the join keeps the nodes, so the plan stays a chain."""
+    step = nodes.withColumnRenamed("node", "src").join(edges, ["model_id", "src"], "left")
+    both = step.select("model_id", F.explode(F.array("src", "dst")).alias("node"))
+    return both.where(F.col("node").isNotNull()).distinct()
+
+
 def peel(edges: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: repeatedly those whose source has no way in or whose target no way out."""
     edges, n, _ = _settle(edges.where(F.col("src") != F.col("dst")).select("model_id", "src", "dst").distinct())
@@ -112,3 +125,22 @@ def dead_chains(edges: DataFrame, statuses: DataFrame) -> DataFrame:
     seeds = statuses.where(F.col("status") == "direct").select("model_id", F.col("name").alias("node"))
     alive = reach(edges, seeds).withColumnRenamed("node", "name")
     return statuses.where(F.col("status") != "unused").join(alive, ["model_id", "name"], "left_anti")
+
+
+def reach_from(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Like :func:`reach`, once for many start sets: ``seeds (model_id, start, node)`` to ``(model_id, start, node)``."""
+    edges = checkpoint(edges.select("model_id", "src", "dst"))
+    keys = ["model_id", "start", "node"]
+    frontier, n, size = _settle(seeds.select(*keys).distinct())
+    seen, rounds = frontier, 0
+    while n:
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        start = broadcast_if_small(frontier.withColumnRenamed("node", "src"), size)
+        step = edges.join(start, ["model_id", "src"]).select("model_id", "start", F.col("dst").alias("node")).distinct()
+        frontier, n, size = _settle(step.join(seen, keys, "left_anti"))
+        seen = seen.unionByName(frontier)
+        if rounds % COMPACT_EVERY == 0:
+            seen = checkpoint(seen)
+    return seen

@@ -34,15 +34,21 @@ def with_page_names(bindings: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def field_usage(bindings: DataFrame, page_key: str = "page_id") -> DataFrame:
-    """Visuals and pages per bound field.  ``page_key="page_name"`` counts display names (see with_page_names)."""
-    if page_key == "page_id":
-        used = deduped_bindings(bindings)
-    else:
-        names = bindings.select("model_id", "page_id", page_key).distinct()
-        used = deduped_bindings(bindings).join(names, ["model_id", "page_id"])
-    return used.groupBy("model_id", "kind", "table_name", "field_name").agg(
+    """Visuals and pages per bound field.  ``page_key="page_name"`` counts display names (see with_page_names).
+
+    The binding that stands for a visual decides whether the field is a slicer field.  Order and flag are packed into
+    one number, filter roles last, then by sequence, the flag in the lowest bit: its minimum is a hash aggregate, where
+    a minimum over structs would sort the whole fact table.
+    """
+    is_filter, is_slicer = (F.col("role") == "Filter").cast("long"), F.col("visual_type").isin(P.SLICER_TYPES).cast("long")
+    packed = is_filter * F.lit(1 << 62) + F.col("seq") * 2 + is_slicer
+    keys = ["model_id", field_kind().alias("kind"), "table_name", "field_name", "page_id", "visual_id"]
+    if page_key != "page_id":
+        keys.append(page_key)
+    visuals = bindings.groupBy(*keys).agg(F.min(packed).alias("_first"))
+    return visuals.groupBy("model_id", "kind", "table_name", "field_name").agg(
         F.count(F.lit(1)).alias("usage_count"), F.countDistinct(page_key).alias("page_count"),
-        F.bool_or(F.col("visual_type").isin(P.SLICER_TYPES)).alias("is_slicer_field"),
+        F.bool_or(F.col("_first") % 2 == 1).alias("is_slicer_field"),
     )
 
 
