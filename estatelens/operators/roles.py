@@ -61,7 +61,7 @@ def incoming_refs(columns: DataFrame, relationships: DataFrame) -> DataFrame:
     return columns.select("model_id", "table_name", "name").join(sides, ["model_id", "table_name", "name"])
 
 
-def constraints(keyed: DataFrame) -> Column:
+def constraints() -> Column:
     """Short constraint text of a column: PK / PK* / FK target / referring columns / CALC / HIDDEN."""
     fk = F.concat(F.lit("FK → "), "fk_table", F.lit("["), "fk_column", F.lit("]"))
     refs_text = F.concat(F.lit("Ref ← "), F.col("incoming_refs").cast("string"))

@@ -168,7 +168,7 @@ def data_dictionary(estate: Estate, summary: DataFrame) -> DataFrame:
     category = F.when(F.col("data_category") == "Uncategorized", "").otherwise(F.col("data_category"))
     summarize = F.when(F.col("summarize_by") == "none", "").otherwise(F.col("summarize_by"))
     return numbered.join(tables, ["model_id", "table_name"]).select(
-        "model_id", "role_order", "role", "table_name", "column_no", "name", "data_type", roles.constraints(numbered).alias("constraints"),
+        "model_id", "role_order", "role", "table_name", "column_no", "name", "data_type", roles.constraints().alias("constraints"),
         dash(summarize).alias("summarize_by"), dash(F.col("sort_by_column")).alias("sort_by"), dash(category).alias("category"),
         dash(F.col("format_string")).alias("format"), dash(F.col("description")).alias("description"),
     )
