@@ -7,6 +7,8 @@ short list a report shows.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,31 +85,44 @@ def numeric_without_format(columns: DataFrame) -> DataFrame:
 
 
 class Audit:
-    """The inputs every rule shares, built once; ``rules`` maps each check to its findings."""
+    """The inputs the rules share, each built when the first rule needs it; ``RULES`` maps a check to its findings."""
 
     def __init__(self, estate: Estate, mode: str = "strict", column_mode: str = "compat"):
-        self.estate, self.mode = estate, mode
-        self.edges = checkpoint(refs.dependencies(estate.measures, mode))
-        self.usage = checkpoint(usage.field_usage(estate.bindings))
-        self.measure_status = checkpoint(usage.measure_status(estate, mode, self.edges, self.usage))
-        self.column_status = checkpoint(usage.column_status(estate, self.measure_status, column_mode, self.usage))
-        self.summary = checkpoint(roles.table_summary(estate))
+        self.estate, self.mode, self.column_mode = estate, mode, column_mode
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpoint(refs.dependencies(self.estate.measures, self.mode))
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return checkpoint(usage.field_usage(self.estate.bindings))
+
+    @cached_property
+    def measure_status(self) -> DataFrame:
+        return checkpoint(usage.measure_status(self.estate, self.mode, self.edges, self.usage))
+
+    @cached_property
+    def column_status(self) -> DataFrame:
+        return checkpoint(usage.column_status(self.estate, self.measure_status, self.column_mode, self.usage))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return checkpoint(roles.table_summary(self.estate))
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        return graph.cycles(self.edges)
 
     @staticmethod
     def user(df: DataFrame) -> DataFrame:
         return df.where(~roles.is_auto_date(F.col("table_name")))
 
-    def cycles(self) -> DataFrame:
-        found = self.__dict__.get("_cycles")
-        if found is None:
-            found = self.__dict__["_cycles"] = graph.cycles(self.edges)
-        return found
-
     def auto_date(self) -> DataFrame:
         return _rows(self.summary.where(F.col("origin") == "auto-date"), "high", "A1", F.col("table_name"), F.lit(""))
 
     def circular(self) -> DataFrame:
-        return _rows(self.cycles(), "high", "A2", F.col("node"), F.col("component"))
+        return _rows(self.cycles, "high", "A2", F.col("node"), F.col("component"))
 
     def broken(self) -> DataFrame:
         e = self.estate
@@ -193,7 +208,7 @@ class Audit:
     def cycle_free(self) -> DataFrame:
         counts = self.user(self.estate.measures).groupBy("model_id").agg(F.count(F.lit(1)).alias("_n"))
         many = counts.where(F.col("_n") > CYCLE_FREE_MIN_MEASURES)
-        return _rows(many.join(self.cycles().select("model_id").distinct(), "model_id", "left_anti"), "good", "A23", F.col("model_id"), F.lit(""))
+        return _rows(many.join(self.cycles.select("model_id").distinct(), "model_id", "left_anti"), "good", "A23", F.col("model_id"), F.lit(""))
 
     def calc_groups(self) -> DataFrame:
         groups = self.estate.calc_items.select("model_id", "group_name").distinct()

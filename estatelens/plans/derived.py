@@ -204,10 +204,12 @@ _WORD = re.compile(r"\b[a-z]\w*\b")
 def _needed(text: str, views: dict[str, str]) -> list[str]:
     """View names ``text`` reads, dependencies first."""
     order: list[str] = []
+    met: set[str] = set()  # a recursive view names itself
 
     def visit(sql: str) -> None:
         for word in _WORD.findall(sql):
-            if word in views and word not in order:
+            if word in views and word not in met:
+                met.add(word)
                 visit(views[word])
                 order.append(word)
 
