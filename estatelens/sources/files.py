@@ -19,10 +19,11 @@ POINTER_PATH = r'"path"\s*:\s*("(?:[^"\\]++|\\.)*+")'
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every project file below ``root``, one row each; unreadable files are skipped, not fatal.
 
-    The extension filter runs while listing, so other files are never opened.  The workspace is the first folder.
+    The extension filter runs while listing, so other files are never opened; Spark leaves out empty files and hidden
+    folders.  The workspace is the first folder.
     """
     any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in EXTENSIONS)
-    found = (  # not the text source: it drops empty files, and these count when a format is chosen
+    found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{any_case}}}")
         .option("ignoreCorruptFiles", True).load(root)
     )

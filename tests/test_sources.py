@@ -274,7 +274,7 @@ def test_pointer_shapes(spark, rows, pointer, reason):
 
 
 def test_walk_and_whole_estate(spark, rows, tmp_path):
-    texts = {**{k.replace("/ws/R.Report", "/ws/Main.Report"): v for k, v in report_files().items()}, "/ws/Main.SemanticModel/definition/tables/T.TMDL": "", "/ws/x/J.SemanticModel/model.bim": json.dumps(BIM)}
+    texts = {**{k.replace("/ws/R.Report", "/ws/Main.Report"): v for k, v in report_files().items()}, "/ws/Main.SemanticModel/definition/tables/T.TMDL": "\n", "/ws/x/J.SemanticModel/model.bim": json.dumps(BIM)}
     texts["/ws/Main.SemanticModel/definition/tables/sales.tmdl"] = "table T\n\tmeasure M = 1\n\tmeasure Colour = [M]\n\tcolumn c\n\tcolumn f\n\tcolumn a\n"
     for skipped in ("/ws/.git/a.json", "/ws/node_modules/b.json", "/ws/.pbi/c.json", "/ws/readme.md"):
         texts[skipped] = "{}"
