@@ -126,21 +126,3 @@ def dead_chains(edges: DataFrame, statuses: DataFrame) -> DataFrame:
     alive = reach(edges, seeds).withColumnRenamed("node", "name")
     return statuses.where(F.col("status") != "unused").join(alive, ["model_id", "name"], "left_anti")
 
-
-def reach_from(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """Like :func:`reach`, once for many start sets: ``seeds (model_id, start, node)`` to ``(model_id, start, node)``."""
-    edges = checkpoint(edges.select("model_id", "src", "dst"))
-    keys = ["model_id", "start", "node"]
-    frontier, n, size = _settle(seeds.select(*keys).distinct())
-    seen, rounds = frontier, 0
-    while n:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        start = broadcast_if_small(frontier.withColumnRenamed("node", "src"), size)
-        step = edges.join(start, ["model_id", "src"]).select("model_id", "start", F.col("dst").alias("node")).distinct()
-        frontier, n, size = _settle(step.join(seen, keys, "left_anti"))
-        seen = seen.unionByName(frontier)
-        if rounds % COMPACT_EVERY == 0:
-            seen = checkpoint(seen)
-    return seen

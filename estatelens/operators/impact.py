@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from estatelens.estate import Estate
 from estatelens.functions import etl, text
 from estatelens.functions import patterns as P
-from estatelens.operators import graph, refs, roles
+from estatelens.operators import roles
 from estatelens.operators.pages import known_bindings
 from estatelens.operators.numbering import first_per_group, preview
 
@@ -92,16 +92,19 @@ def source_index_order() -> list[Column]:
     return [F.col("visual_count").desc(), F.col("table_count").desc(), F.col("source_key").asc()]
 
 
-def source_impact(estate: Estate, sources: DataFrame, mode: str = "strict") -> DataFrame:
-    """Per source every measure that breaks with it: those of its tables, and all that depend on these.
-
-    One walk against the dependency edges serves all sources, each node tagged with the source it was reached from.
-    """
-    tables = source_tables(sources).select("model_id", "source_key", "table_name")
-    own = tables.join(estate.measures.select("model_id", "table_name", "name"), ["model_id", "table_name"])
-    users = refs.dependencies(estate.measures, mode).select("model_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reached = graph.reach_from(users, own.select("model_id", F.col("source_key").alias("start"), F.col("name").alias("node")))
-    return reached.select("model_id", F.col("start").alias("source_key"), F.col("node").alias("measure"))
+def source_impact(estate: Estate, sources: DataFrame) -> DataFrame:
+    """What breaks with each source, by table: its measures and columns, and the visuals and pages that show them."""
+    zero = F.lit(0).cast("long")
+    keys = ["model_id", "table_name"]
+    shown = table_bindings(estate).groupBy(*keys, "page_id").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.sum("_n").alias("visuals"), F.count(F.lit(1)).alias("pages")
+    )
+    measures = estate.measures.groupBy(*keys).agg(F.count(F.lit(1)).alias("measures"))
+    columns = estate.columns.groupBy(*keys).agg(F.count(F.lit(1)).alias("columns"))
+    joined = source_tables(sources).select("model_id", "source_key", "table_name")
+    for side in (measures, columns, shown):
+        joined = joined.join(side, keys, "left")
+    return joined.select("model_id", "source_key", "table_name", *[F.coalesce(c, zero).alias(c) for c in ("measures", "columns", "visuals", "pages")])
 
 
 def source_map(estate: Estate, sources: DataFrame, summary: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def lineage_edges(estate: Estate, mode: str = "strict", edges: DataFrame | None
     visuals = bound.select("model_id", "kind", field.alias("entity"), F.concat_ws("/", "page_id", "visual_id").alias("related")).join(
         known, ["model_id", "kind", "entity"], "left_semi"
     )
-    readers = refs.column_refs(estate.measures, estate.columns, "compat")
+    readers = refs.column_refs(estate.measures, estate.columns)
     column = F.concat("table_name", F.lit("["), "column", F.lit("]"))
     reader = F.concat("measure_table", F.lit("["), "measure", F.lit("]"))
     parts = [

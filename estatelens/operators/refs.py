@@ -164,17 +164,20 @@ def function_uses(functions: DataFrame, measures: DataFrame) -> DataFrame:
     return tokens.join(names, ["model_id", "function"]).select("model_id", "function", "table_name", "measure")
 
 
-def column_refs(measures: DataFrame, columns: DataFrame, mode: str = "compat") -> DataFrame:
-    """``(model_id, table_name, column, measure_table, measure)``: the measure's text names the column, case kept.
-
-    ``compat`` accepts any bracketed ``[column]`` of the raw text, whatever its table; ``strict`` needs ``T[column]``.
-    """
+def column_refs(measures: DataFrame, columns: DataFrame) -> DataFrame:
+    """``(model_id, table_name, column, measure_table, measure)``: the measure's text holds ``T[column]``, case kept."""
     source = measures.select("model_id", F.col("table_name").alias("measure_table"), F.col("name").alias("measure"), "body")
-    if mode == "strict":
-        refs = qualified_refs(source).withColumnsRenamed({"ref_table": "table_name", "ref_column": "column"})
-        keys = ["model_id", "table_name", "column"]
-    else:
-        refs = raw_tokens(source).withColumnRenamed("ref_name", "column")
-        keys = ["model_id", "column"]
+    found = qualified_refs(source).withColumnsRenamed({"ref_table": "table_name", "ref_column": "column"})
     named = columns.select("model_id", "table_name", F.col("name").alias("column"))
-    return refs.join(named, keys).select("model_id", "table_name", "column", "measure_table", "measure")
+    return found.join(named, ["model_id", "table_name", "column"]).select("model_id", "table_name", "column", "measure_table", "measure")
+
+
+def column_mentions(measures: DataFrame, columns: DataFrame) -> DataFrame:
+    """Per column the number of measures whose raw text holds ``[column]``, whatever table they mean.
+
+    Counted per name before the join: columns of one name share the count, and no (column, measure) pairs are formed.
+    """
+    counts = raw_tokens(measures.select("model_id", "body")).groupBy("model_id", F.col("ref_name").alias("column")).agg(
+        F.count(F.lit(1)).alias("measures")
+    )
+    return columns.select("model_id", "table_name", F.col("name").alias("column")).join(counts, ["model_id", "column"])

@@ -197,6 +197,22 @@ select event_id, ''||user_id, ''||hour(ts)
   , 'T'||cast(floor(p_partkey/4) as bigint), case when hour(ts)%5=0 then 'id' else p_type end
   from events join part on p_partkey=cast(regexp_extract(props,'[0-9]+',0) as bigint)*10+user_id%10 where value>60 and value<=100"""
 
+# ---- a corpus of reports and models, for the operators that find and pair them -----------------------------------
+
+VIEWS["y_nations"] = """
+select s_nationkey, n_name, min(s_suppkey) as low from supplier join nation on n_nationkey=s_nationkey group by s_nationkey, n_name"""
+
+VIEWS["y_models"] = """
+select n_name as workspace, '/'||n_name||'/Cust'||s_suppkey||'.SemanticModel' as model, 'Cust'||s_suppkey as stem
+  , case s_suppkey%3 when 0 then 'tmdl' when 1 then 'bim' else 'none' end as format
+  from supplier join nation on n_nationkey=s_nationkey"""
+
+VIEWS["y_reports"] = """
+select n_name as workspace, c_custkey as k, case when c_custkey%2=0 then '/'||n_name else '/'||n_name||'/d'||c_custkey end as folder
+  , case when c_custkey%6=1 then 'cust'||low else 'Cust'||c_custkey end as stem
+  , case c_custkey%6 when 0 then '../Cust'||low||'.SemanticModel' when 3 then '../Gone'||c_custkey||'.SemanticModel' when 5 then '../../cust'||low||'.SemanticModel' else '' end as pointer
+  from customer join y_nations on s_nationkey=c_nationkey"""
+
 _AGG = re.compile(r"@joined\((.+?), ('[^']*')\)@")
 _WORD = re.compile(r"\b[a-z]\w*\b")
 

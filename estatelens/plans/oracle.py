@@ -205,9 +205,6 @@ V["o_glossary"] = f"""select name, kind, parent, note, {cut('d', 110, 110)} as d
    from e_measures m join o_mstatus s on s.name=m.name left join o_ext x on x.name=m.name
  union all select name, 'UDF', '', parameters, description from x_functions where not name like '%.About'
  union all select name, 'Calc item', group_name, '', description from x_calc_items) g"""
-V["o_users"] = "select e.dst as src, e.src as dst from o_edges e"
-V["o_impact"] = """select k.source_key, m.name as measure from o_srckeys k join e_measures m on m.table_name=k.table_name
- union select i.source_key, u.dst from o_impact i join o_users u on u.src=i.measure"""
 V["o_totals"] = """select (select count(*) from e_measures) as measures
  , (select count(*) from o_mstatus where status='direct') as measures_direct, (select count(*) from o_mstatus where status='indirect') as measures_indirect, (select count(*) from o_mstatus where status='unused') as measures_unused
  , (select count(*) from x_columns) as columns
@@ -228,6 +225,49 @@ V["o_anchors"] = f"""select 'DataDictionary' as doc, {wiki('table_name')} as fra
 # ---- oracles ----------------------------------------------------------------------------------------------------
 
 O: dict[str, str] = {}
+V["o_best"] = """select r.workspace, r.folder||'/'||r.stem||'.Report' as report, r.k, r.folder, r.stem, case when r.k%6=1 then '' else regexp_extract(r.pointer,'([^/]*)$',1) end as pointer, p.model as pointed, n.model as named
+ from y_reports r left join y_models p on p.workspace=r.workspace and lower(p.stem)||'.semanticmodel'=lower(regexp_extract(r.pointer,'([^/]*)$',1))
+ left join y_models n on n.workspace=r.workspace and lower(n.stem)=lower(r.stem)"""
+V["o_disk"] = """select workspace, report, coalesce(pointed, exact, starts, firstm) as model, case when pointed is not null then 'pbir' when exact is not null then 'exact' when starts is not null then 'prefix' when firstm is not null then 'first' else 'none' end as reason
+ from (select b.workspace, b.report, case when b.k%6=0 then b.pointed end as pointed
+   , (select m.model from y_models m where m.workspace=b.workspace and b.folder='/'||b.workspace and m.stem=b.stem) as exact
+   , (select arg_min(m.model, length(m.stem)||'/'||m.stem) from y_models m where m.workspace=b.workspace and b.folder='/'||b.workspace and starts_with(m.stem, b.stem)) as starts
+   , (select min(m.model) from y_models m where m.workspace=b.workspace and b.folder='/'||b.workspace) as firstm from o_best b) d"""
+O["s02_roots"] = "select workspace, 'report' as kind, report as root from o_best union all select workspace, 'model', model from y_models"
+O["s02_shallowest_reports"] = "select workspace, arg_min(report, lpad(cast(length(report) as varchar),9,'0')||report) as root from o_best group by workspace"
+O["s03_pairs_by_name"] = """select workspace, report, coalesce(pointed, named) as model, case when pointed is not null then 'pbir' when named is not null then 'prefix' else 'mismatch' end as reason
+ , case when pointer<>'' then pointer else stem||'.SemanticModel' end as expected from o_best"""
+O["s03_reports_for_models"] = """select m.workspace, m.model, coalesce(p.report, n.report) as report from y_models m
+ left join (select pointed, arg_min(report, (lower(stem)<>lower(regexp_extract(pointed,'/([^/]*)\\.SemanticModel$',1)))::int||report) as report from o_best where pointed is not null group by pointed) p on p.pointed=m.model
+ left join (select named, min(report) as report from o_best where named is not null group by named) n on n.named=m.model"""
+O["s03_default_pairs"] = """select w.workspace, b.report, coalesce(b.pointed, b.named, w.model) as model from (select workspace, min(model) as model from y_models group by workspace) w
+ left join (select *, row_number() over (partition by workspace order by stem||'.Report', report) as rn from o_best) b on b.workspace=w.workspace and b.rn=1"""
+O["s04_pairs_on_disk"] = "select * from o_disk"
+O["s05_load_modes"] = """select workspace, report, model, case when model is null then 'report-only' else 'full' end as mode from o_disk
+ union all select workspace, null, model, 'model-only' from y_models where model not in (select model from o_disk where model is not null)"""
+V["o_listed"] = "select * from x_bindings where page_id in (select page_id from x_pages)"
+_BOUND = "page_id, cast(seq as varchar) as visual_id, visual_type, visual_type as title, role, field_type, table_name, field_name"
+O["s06_pages"] = "select p.page_id, p.name, p.hidden, p.width, p.height, coalesce(v.n,0) as visual_count from x_pages p left join (select page_id, count(*) as n from x_visuals group by page_id) v on v.page_id=p.page_id"
+O["s06_visuals"] = "select page_id, visual_id, visual_type, title, x, y, z, width, height from x_visuals where page_id in (select page_id from x_pages)"
+O["s07_well_bindings"] = f"select {_BOUND} from o_listed where role<>'Filter'"
+O["s08_filter_bindings"] = f"select {_BOUND} from o_listed where role='Filter'"
+O["s09_formatting_bindings"] = f"select {_BOUND} from o_listed"
+O["s10_field_references"] = "select field_type, table_name, field_name, count(*) as bindings from o_listed group by field_type, table_name, field_name"
+O["s11_json_columns"] = "select * from x_columns"
+O["s11_json_measures"] = "select table_name, name, body, format_string, description, display_folder from e_measures"
+O["s11_json_partitions"] = "select table_name, name, mode, kind, case when kind='entity' and expression_source='' then m_body else expression_source end as expression_source, m_body from x_partitions where table_name in (select table_name from x_columns)"
+O["s11_json_relationships"] = "select from_table, from_column, to_table, to_column, is_active, from_card, to_card, cross_filter from x_rels"
+O["s12_text_relationships"] = "select row_number() over (partition by from_table, to_table order by rel_no)-1 as rel_no, from_table, from_column, to_table, to_column, is_active, from_card, to_card, cross_filter from x_rels"
+O["s13_text_tables"] = "select table_name, description from x_tables where table_name in (select table_name from x_columns union select table_name from e_measures)"
+O["s13_text_columns"] = "select * from x_columns"
+O["s13_text_measures"] = "select table_name, name, body, format_string, description, display_folder from e_measures"
+O["s13_text_calc_items"] = "select group_name, precedence, name, replace(body,chr(9),'') as body, format_expr, description from x_calc_items"
+O["s14_text_partitions"] = "select table_name, name, mode, kind, expression_source, replace(m_body,chr(10),chr(10)||chr(9)||chr(9)||chr(9)) as m_body from x_partitions"
+O["s15_text_hierarchies"] = "select * from x_hierarchies"
+O["s16_text_expressions"] = "select name, kind, replace(value,chr(10),chr(10)||chr(9)||chr(9)) as value, metadata, description from x_expressions"
+O["s17_text_functions"] = "select name, array_to_string([trim(x) for x in string_split(parameters,chr(10))],' ') as parameters, body, description from x_functions"
+O["s18_model_properties"] = "select name, description, culture, culture as cultures, compatibility_level, discourage_implicit, value_filter from x_models"
+O["s19_formats"] = "select model, format from y_models"
 O["x01_strip_comments"] = "select name, clean from o_clean"
 O["x02_qualified_refs"] = "select label as name, ref_table, ref_column from o_qual"
 O["x03_bare_refs"] = "select label as name, ref_name from o_bare"
@@ -375,10 +415,11 @@ O["r06_lineage"] = """select 'measure' as entity_kind, table_name||'['||measure|
  union all select 'measure', a.table_name||'['||a.name||']', 'upstream', 'measure', b.table_name||'['||b.name||']' from o_edges e join e_measures a on a.name=e.src join e_measures b on b.name=e.dst
  union all select 'measure', b.table_name||'['||b.name||']', 'feeds', 'measure', a.table_name||'['||a.name||']' from o_edges e join e_measures a on a.name=e.src join e_measures b on b.name=e.dst
  union all select 'column', table_name||'['||name||']', 'upstream', 'table', table_name from x_columns
- union all select 'column', c.table_name||'['||c.name||']', 'feeds', 'measure', m.table_name||'['||m.name||']' from o_token t join x_columns c on c.name=t.ref_name join e_measures m on m.name=t.name
+ union all select 'column', c.table_name||'['||c.name||']', 'feeds', 'measure', m.table_name||'['||m.name||']' from o_qual q join x_columns c on c.table_name=q.ref_table and c.name=q.ref_column join e_measures m on m.name=q.label
  union all select kind, table_name||'['||field_name||']', 'downstream', 'visual', page_id||'/'||visual_id from o_known"""
 O["r07_table_roles"] = "select table_name, role, outgoing, incoming from o_summary"
-O["r08_source_impact"] = "select * from o_impact"
+O["r08_source_impact"] = """select k.source_key, k.table_name, (select count(*) from e_measures m where m.table_name=k.table_name) as measures, (select count(*) from x_columns c where c.table_name=k.table_name) as columns
+ , coalesce(b.v,0) as visuals, coalesce(b.p,0) as pages from o_srckeys k left join (select table_name, count(distinct (page_id,visual_id)) as v, count(distinct page_id) as p from o_known group by table_name) b on b.table_name=k.table_name"""
 
 
 def finding(number: int, severity: str, entity: str, detail: str, source: str) -> str:

@@ -14,10 +14,11 @@ from estatelens.functions import patterns as P
 from estatelens.operators import audit as rules
 from estatelens.operators import graph, impact, lineage, pages, refs, roles, usage
 from estatelens.operators.numbering import capped, first_per_group, number_rows
-from estatelens.plans import reports
+from estatelens.plans import render, reports
 from estatelens.session import checkpoint, tune
 from estatelens.sinks import csv
 from estatelens.sinks import markdown as md
+from estatelens.sources import bim, blocks, files, project, report
 
 
 class Context:
@@ -88,6 +89,52 @@ def shape_only(c: Context, build: Callable) -> DataFrame:
     return source_columns(c.resolved.select(*impact.KEYS, build(col("m_body")).alias("source")))
 
 
+# ---- S: sources (the derived estate written as project files and read back) --------------------------------------
+
+
+def text_members(rendered: DataFrame) -> DataFrame:
+    return blocks.members(blocks.table_sections(rendered))
+
+
+def scanned(c: Context, visuals: DataFrame) -> DataFrame:
+    pages_of = render.page_files(c.e)
+    return report.parsed_visuals(pages_of.unionByName(visuals), report.page_rows(pages_of))
+
+
+BOUND = ["page_id", "visual_id", "visual_type", "title", "role", "field_type", "table_name", "field_name"]
+Q["s02_roots"] = lambda c: files.roots(render.corpus_files(c.spark, c.sf_dir))
+Q["s02_shallowest_reports"] = lambda c: files.shallowest_report(render.corpus_files(c.spark, c.sf_dir))
+Q["s03_pairs_by_name"] = lambda c: files.pairs_by_name(render.corpus_files(c.spark, c.sf_dir))
+Q["s03_reports_for_models"] = lambda c: files.reports_for_models(render.corpus_files(c.spark, c.sf_dir))
+Q["s03_default_pairs"] = lambda c: files.default_pair(render.corpus_files(c.spark, c.sf_dir))
+Q["s04_pairs_on_disk"] = lambda c: files.pairs_on_disk(render.corpus_files(c.spark, c.sf_dir))
+Q["s05_load_modes"] = lambda c: files.projects(render.corpus_files(c.spark, c.sf_dir)).select("workspace", "report", "model", "mode")
+Q["s06_pages"] = lambda c: report.page_rows(render.page_files(c.e).unionByName(render.visual_files(c.e))).drop("report", "page_no")
+Q["s06_visuals"] = lambda c: report.visual_rows(scanned(c, render.visual_files(c.e))).drop("report")
+Q["s07_well_bindings"] = lambda c: report.projection_bindings(scanned(c, render.binding_files(c.e))).select(BOUND)
+Q["s08_filter_bindings"] = lambda c: report.filter_bindings(scanned(c, render.binding_files(c.e))).select(BOUND)
+Q["s09_formatting_bindings"] = lambda c: report.formatting_bindings(scanned(c, render.binding_files(c.e, formatting=True))).select(BOUND)
+Q["s10_field_references"] = lambda c: report.binding_rows(scanned(c, render.binding_files(c.e))).groupBy("field_type", "table_name", "field_name").agg(
+    F.count(F.lit(1)).alias("bindings")
+)
+Q["s11_json_columns"] = lambda c: bim.columns(bim.parsed(render.bim_files(c.e))).drop("root")
+Q["s11_json_measures"] = lambda c: bim.measures(bim.parsed(render.bim_files(c.e))).drop("root")
+Q["s11_json_partitions"] = lambda c: bim.partitions(bim.parsed(render.bim_files(c.e))).drop("root", "part_no")
+Q["s11_json_relationships"] = lambda c: bim.relationships(bim.parsed(render.bim_files(c.e))).drop("root", "rel_no")
+Q["s12_text_relationships"] = lambda c: blocks.relationships(render.relationship_files(c.e)).drop("root")
+Q["s13_text_tables"] = lambda c: blocks.tables(blocks.table_sections(render.table_files(c.e))).select("table_name", "description")
+Q["s13_text_columns"] = lambda c: blocks.columns(text_members(render.table_files(c.e))).drop("root")
+Q["s13_text_measures"] = lambda c: blocks.measures(text_members(render.table_files(c.e))).drop("root")
+Q["s13_text_calc_items"] = lambda c: blocks.calc_items(text_members(render.calc_item_files(c.e))).drop("root", "ordinal")
+Q["s14_text_partitions"] = lambda c: blocks.partitions(text_members(render.partition_files(c.e))).drop("root", "part_no")
+Q["s15_text_hierarchies"] = lambda c: blocks.hierarchies(text_members(render.hierarchy_files(c.e))).drop("root")
+Q["s16_text_expressions"] = lambda c: blocks.expressions(render.expression_files(c.e)).drop("root")
+Q["s17_text_functions"] = lambda c: blocks.functions(render.function_files(c.e)).drop("root")
+Q["s18_model_properties"] = lambda c: blocks.models(render.model_files(c.e)).select(
+    "name", "description", "culture", F.array_join("cultures", ", ").alias("cultures"), "compatibility_level", "discourage_implicit", "value_filter"
+)
+Q["s19_formats"] = lambda c: project.formats(render.corpus_files(c.spark, c.sf_dir)).withColumnRenamed("root", "model")
+
 # ---- X: text and scalar functions -------------------------------------------------------------------------------
 
 Q["x01_strip_comments"] = lambda c: c.e.measures.select("name", text.strip_comments_and_strings(col("body")).alias("clean"))
@@ -179,10 +226,8 @@ Q["j09_broken_references"] = lambda c: refs.broken_references(c.e.measures, c.e.
 Q["j10_inactive_without_caller"] = lambda c: refs.inactive_without_caller(c.e.relationships, c.e.measures).select("from_table", "from_column", "to_table", "to_column")
 Q["j10_inactive_strict"] = lambda c: refs.inactive_without_caller(c.e.relationships, c.e.measures, "strict").select("from_table", "from_column", "to_table", "to_column")
 Q["j11_function_uses"] = lambda c: refs.function_uses(c.e.functions, c.e.measures)
-Q["j12_column_lineage"] = lambda c: refs.column_refs(c.e.measures, c.e.columns, "compat").groupBy("model_id", "table_name", "column").agg(
-    F.count(F.lit(1)).alias("measures")
-)
-Q["j12_column_lineage_strict"] = lambda c: refs.column_refs(c.e.measures, c.e.columns, "strict")
+Q["j12_column_lineage"] = lambda c: refs.column_mentions(c.e.measures, c.e.columns)
+Q["j12_column_lineage_strict"] = lambda c: refs.column_refs(c.e.measures, c.e.columns)
 Q["j13_source_map"] = lambda c: impact.source_map(c.e, c.sources, c.summary)
 Q["j14_visible_edges"] = lambda c: roles.visible_edges(c.e.relationships, c.summary.where((col("origin") == "user") & (col("role") != "Bridge"))).select(
     "from_table", "from_column", "to_table", "to_column"
