@@ -71,15 +71,14 @@ def lines(body: Column) -> Column:
 
 
 def dedent(body: Column) -> Column:
-    """Remove the indentation all non-blank lines share."""
-    margins = F.transform(F.filter(lines(body), non_empty), lambda line: F.length(line) - F.length(F.ltrim(F.translate(line, "\t", " "))))
-    margin = F.coalesce(F.array_min(margins), F.lit(0))
-
-    def cut(line: Column) -> Column:
-        blank_margin = ~non_empty(F.substring(line, F.lit(1), margin)) & (F.length(line) >= margin)
-        return F.when(blank_margin, F.substring(line, margin + 1, F.length(line))).otherwise(line)
-
-    return F.when(margin == 0, body).otherwise(F.array_join(F.transform(lines(body), cut), "\n"))
+    """Remove the indentation all non-blank lines share.
+
+    The margin becomes part of a pattern, so it is worked out once per text and not once per line.
+    """
+    indents = F.regexp_extract_all(body, F.lit(r"(?md)^([ \t]*+)(?=\S)"), F.lit(1))
+    margin = F.coalesce(F.array_min(F.transform(indents, F.length)), F.lit(0))
+    blank = "[" + P.WHITESPACE.replace("\n", "") + "]"
+    return F.when(margin == 0, body).otherwise(F.regexp_replace(body, F.concat(F.lit(f"(?md)^{blank}{{"), margin.cast("string"), F.lit("}")), F.lit("")))
 
 
 def capped_body(body: Column, cap: int = P.BODY_CAP) -> Column:

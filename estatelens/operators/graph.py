@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from estatelens.session import broadcast_if_small, checkpoint, row_bytes
 
-HOPS = 2
+HOPS = 4
 COMPACT_EVERY = 8
 
 

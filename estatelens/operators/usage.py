@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from estatelens.estate import Estate
 from estatelens.functions import patterns as P
 from estatelens.operators import graph, refs
+from estatelens.session import checkpoint
 
 
 def field_kind() -> Column:
@@ -67,7 +68,8 @@ def measure_status(estate: Estate, mode: str = "strict", edges: DataFrame | None
     """``(model_id, table_name, name, usage_count, page_count, status)`` for every measure."""
     edges = refs.dependencies(estate.measures, mode) if edges is None else edges
     usage = field_usage(estate.bindings) if usage is None else usage
-    counted = with_usage(estate.measures.select("model_id", "table_name", "name"), usage, "measure").drop("is_slicer_field")
+    # One row per measure: written once, so the bindings are not counted again for the seeds and for the result.
+    counted = checkpoint(with_usage(estate.measures.select("model_id", "table_name", "name"), usage, "measure").drop("is_slicer_field"))
     seeds = counted.where(F.col("usage_count") > 0).select("model_id", F.col("name").alias("node"))
     reached = graph.reach(edges, seeds).select("model_id", F.col("node").alias("name"), F.lit(True).alias("_reached"))
     status = F.when(F.col("usage_count") > 0, "direct").when(F.col("_reached"), "indirect").otherwise("unused")
