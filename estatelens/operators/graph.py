@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from estatelens.session import broadcast_if_small, checkpoint, row_bytes
 
 HOPS = 4
+LAYERS = 2
 COMPACT_EVERY = 8
 
 
@@ -57,9 +58,11 @@ def peel(edges: DataFrame) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: repeatedly those whose source has no way in or whose target no way out."""
     edges, n, _ = _settle(edges.where(F.col("src") != F.col("dst")).select("model_id", "src", "dst").distinct())
     while n:
-        sources = edges.select("model_id", F.col("src").alias("dst")).distinct()
-        targets = edges.select("model_id", F.col("dst").alias("src")).distinct()
-        kept = edges.join(sources, ["model_id", "dst"], "left_semi").join(targets, ["model_id", "src"], "left_semi")
+        kept = edges
+        for _ in range(LAYERS):
+            sources = kept.select("model_id", F.col("src").alias("dst")).distinct()
+            targets = kept.select("model_id", F.col("dst").alias("src")).distinct()
+            kept = kept.join(sources, ["model_id", "dst"], "left_semi").join(targets, ["model_id", "src"], "left_semi")
         edges, left, _ = _settle(kept.select("model_id", "src", "dst"))
         if left == n:
             break

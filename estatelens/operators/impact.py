@@ -16,11 +16,15 @@ KEYS = ["model_id", "table_name", "part_no"]
 
 
 def resolve_partitions(partitions: DataFrame, expressions: DataFrame) -> DataFrame:
-    """Partitions whose body is the shared expression they name, when the model has it."""
+    """Partitions whose body is the shared expression they name, when the model has it.
+
+    Only partitions that name one are joined; all others, a single hot key otherwise, pass without a shuffle.
+    """
     shared = expressions.select("model_id", F.col("name").alias("expression_source"), F.col("value").alias("_value"))
-    joined = partitions.join(shared, ["model_id", "expression_source"], "left")
+    naming = F.coalesce("expression_source", F.lit("")) != ""
+    joined = partitions.where(naming).join(shared, ["model_id", "expression_source"], "left")
     body = F.when(F.coalesce("_value", F.lit("")) != "", F.col("_value")).otherwise(F.col("m_body"))
-    return joined.withColumn("m_body", body).select(*partitions.columns)
+    return joined.withColumn("m_body", body).select(*partitions.columns).unionByName(partitions.where(~naming))
 
 
 def inferred_sources(resolved: DataFrame) -> DataFrame:

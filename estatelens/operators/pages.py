@@ -41,9 +41,9 @@ def bound_visuals(bindings: DataFrame, mode: str = "strict") -> DataFrame:
 def page_summary(estate: Estate, mode: str = "strict") -> DataFrame:
     """One row per page, bound or not: visuals, distinct measures and columns, slicers, coverage percent."""
     bound = known_bindings(estate)
-    names = bound.groupBy("model_id", "page_id").agg(
-        F.countDistinct(F.when(F.col("kind") == "measure", F.col("field_name"))).alias("measure_count"),
-        F.countDistinct(F.when(F.col("kind") == "column", F.col("field_name"))).alias("column_count"),
+    # Distinct first: one shuffle by the full key spreads a hot page, and the counts after it combine map-side.
+    names = bound.select("model_id", "page_id", "kind", "field_name").distinct().groupBy("model_id", "page_id").agg(
+        F.count_if(F.col("kind") == "measure").alias("measure_count"), F.count_if(F.col("kind") == "column").alias("column_count")
     )
     slicers = bound_visuals(bound, mode).groupBy("model_id", "page_id").agg(
         F.count_if(F.col("visual_type") == "slicer").alias("slicer_count")

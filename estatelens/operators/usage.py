@@ -90,12 +90,15 @@ def relationship_columns(relationships: DataFrame) -> DataFrame:
 def referenced_columns(estate: Estate, statuses: DataFrame, mode: str = "compat") -> DataFrame:
     """Columns named in the text of a measure that is itself used."""
     used = statuses.where(F.col("status") != "unused").select("model_id", "table_name", "name")
-    live = estate.measures.join(used, ["model_id", "table_name", "name"], "left_semi").select("model_id", "body")
+    source, keys = estate.measures.select("model_id", "table_name", "name", "body"), ["model_id", "table_name", "name"]
     named = estate.columns.select("model_id", "table_name", "name")
+    # Tokens first: bodies never go through a shuffle.
     if mode == "strict":
-        found = refs.qualified_refs(live).select("model_id", F.col("ref_table").alias("table_name"), F.col("ref_column").alias("name"))
-        return named.join(found.distinct(), ["model_id", "table_name", "name"], "left_semi")
-    found = refs.raw_tokens(live).select("model_id", F.col("ref_name").alias("name"))
+        live = refs.qualified_refs(source).join(used, keys, "left_semi")
+        found = live.select("model_id", F.col("ref_table").alias("table_name"), F.col("ref_column").alias("name"))
+        return named.join(found.distinct(), keys, "left_semi")
+    live = refs.raw_tokens(source).join(used, keys, "left_semi")
+    found = live.select("model_id", F.col("ref_name").alias("name"))
     return named.join(found.distinct(), ["model_id", "name"], "left_semi").select("model_id", "table_name", "name")
 
 

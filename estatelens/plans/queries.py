@@ -96,9 +96,8 @@ def text_members(rendered: DataFrame) -> DataFrame:
     return blocks.members(blocks.table_sections(rendered))
 
 
-def scanned(c: Context, visuals: DataFrame) -> DataFrame:
-    pages_of = render.page_files(c.e)
-    return report.parsed_visuals(pages_of.unionByName(visuals), report.page_rows(pages_of))
+def scanned(c: Context, rendered: DataFrame, take: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return report.on_listed_pages(take(report.parsed_visuals(rendered)), report.page_rows(render.page_files(c.e)))
 
 
 BOUND = ["page_id", "visual_id", "visual_type", "title", "role", "field_type", "table_name", "field_name"]
@@ -110,11 +109,11 @@ Q["s03_default_pairs"] = lambda c: files.default_pair(render.corpus_files(c.spar
 Q["s04_pairs_on_disk"] = lambda c: files.pairs_on_disk(render.corpus_files(c.spark, c.sf_dir))
 Q["s05_load_modes"] = lambda c: files.projects(render.corpus_files(c.spark, c.sf_dir)).select("workspace", "report", "model", "mode")
 Q["s06_pages"] = lambda c: report.page_rows(render.page_files(c.e).unionByName(render.visual_files(c.e))).drop("report", "page_no")
-Q["s06_visuals"] = lambda c: report.visual_rows(scanned(c, render.visual_files(c.e))).drop("report")
-Q["s07_well_bindings"] = lambda c: report.projection_bindings(scanned(c, render.binding_files(c.e))).select(BOUND)
-Q["s08_filter_bindings"] = lambda c: report.filter_bindings(scanned(c, render.binding_files(c.e))).select(BOUND)
-Q["s09_formatting_bindings"] = lambda c: report.formatting_bindings(scanned(c, render.binding_files(c.e, formatting=True))).select(BOUND)
-Q["s10_field_references"] = lambda c: report.binding_rows(scanned(c, render.binding_files(c.e))).groupBy("field_type", "table_name", "field_name").agg(
+Q["s06_visuals"] = lambda c: scanned(c, render.visual_files(c.e), report.visual_rows).drop("report")
+Q["s07_well_bindings"] = lambda c: scanned(c, render.binding_files(c.e), report.projection_bindings).select(BOUND)
+Q["s08_filter_bindings"] = lambda c: scanned(c, render.binding_files(c.e), report.filter_bindings).select(BOUND)
+Q["s09_formatting_bindings"] = lambda c: scanned(c, render.binding_files(c.e, formatting=True), report.formatting_bindings).select(BOUND)
+Q["s10_field_references"] = lambda c: scanned(c, render.binding_files(c.e), report.binding_rows).groupBy("field_type", "table_name", "field_name").agg(
     F.count(F.lit(1)).alias("bindings")
 )
 Q["s11_json_columns"] = lambda c: bim.columns(bim.parsed(render.bim_files(c.e))).drop("root")

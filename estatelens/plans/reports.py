@@ -105,11 +105,11 @@ def page_table(summary: DataFrame) -> DataFrame:
 
 def measures_lite(estate: Estate, statuses: DataFrame) -> DataFrame:
     described = F.regexp_replace("description", r"\s+", " ")
-    rows = estate.measures.join(statuses.select("model_id", "table_name", "name", "status"), ["model_id", "table_name", "name"])
-    return rows.select(
-        "model_id", "name", "table_name", "status", dash(F.col("format_string")).alias("format"),
+    shown = estate.measures.select(  # what is shown of a body, not the body, goes through the join
+        "model_id", "name", "table_name", dash(F.col("format_string")).alias("format"),
         dash(text.truncated(described, *MEASURE_DESCRIPTION_CUT)).alias("description"), text.is_external(F.col("body")).alias("is_proxy"),
     )
+    return shown.join(statuses.select("model_id", "table_name", "name", "status"), ["model_id", "table_name", "name"])
 
 
 def measures_detailed(estate: Estate, statuses: DataFrame, edges: DataFrame) -> DataFrame:
@@ -244,10 +244,11 @@ def glossary(estate: Estate, statuses: DataFrame, summary: DataFrame) -> DataFra
         F.when(F.col("is_key"), "key"), F.when(F.col("is_calculated"), "calculated"), F.when(F.col("is_hidden"), "hidden")
     )
     keys = ["model_id", "table_name", "name"]
-    measures = estate.measures.where(user).join(statuses.select(*keys, "status"), keys)
     body = F.col("body")
     proxy = F.concat(F.lit("external proxy → "), text.external_model(body), F.lit("["), text.external_name(body), F.lit("]"))
-    measure_note = notes(F.when(text.is_external(body), proxy), F.when(F.col("status") != "direct", F.col("status")))
+    shown = estate.measures.where(user).select(*keys, "description", F.when(text.is_external(body), proxy).alias("_proxy"))
+    measures = shown.join(statuses.select(*keys, "status"), keys)
+    measure_note = notes(F.col("_proxy"), F.when(F.col("status") != "direct", F.col("status")))
     parts = [
         entry(tables, F.when(F.col("is_calc_group"), "Calc group").otherwise("Table"), "table_name", none, table_note),
         entry(columns, F.lit("Column"), "name", F.col("table_name"), column_note),

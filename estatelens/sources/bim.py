@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import patterns as P
 from estatelens.functions.text import trimmed
+from estatelens.sources.files import at, path_part
 
-BIM_FILE = r"^(.*?)(?:/definition)?/model\.bim$"
 # Texts may be a string or a list of lines, so they are read as variants.
 SCHEMA = """
 compatibilityLevel int,
@@ -46,9 +46,15 @@ def one_of(value: Column, allowed: list[str], default: str) -> Column:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """``(root, _b)``: one parsed model per folder; the file beside the folder's root wins over the one below it."""
-    found = files.where(F.col("path").rlike(BIM_FILE)).select(F.regexp_extract("path", BIM_FILE, 1).alias("root"), "path", "content")
-    return found.groupBy("root").agg(F.min_by("content", F.length("path")).alias("content")).select("root", F.from_json("content", SCHEMA).alias("_b"))
+    """``(root, _b)``: one parsed model per folder; the file at the folder's root wins over the one below it.
+
+    Only the rare nested files are joined, so model texts are not shuffled.
+    """
+    found = at(files, "bim").select(path_part("bim").alias("root"), "path", "content")
+    nested = F.col("path").endswith("/definition/model.bim")
+    direct = found.where(~nested)
+    chosen = direct.unionByName(found.where(nested).join(direct.select("root"), "root", "left_anti"))
+    return chosen.select("root", F.from_json("content", SCHEMA).alias("_b"))
 
 
 def _tables(models: DataFrame) -> DataFrame:

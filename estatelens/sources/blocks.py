@@ -12,14 +12,9 @@ from pyspark.sql import functions as F
 from estatelens.functions import patterns as P
 from estatelens.functions.text import non_empty, trimmed
 from estatelens.sources.bim import LITERAL, PLAIN_LITERAL, one_of
-from estatelens.sources.files import base_name
-
-# File places and property words
-TABLE_FILE = r"^(.*)/definition/tables/[^/]+\.tmdl$"
-PLACES = {
-    name: rf"^(.*)/definition/{name}\.tmdl$" for name in ("relationships", "expressions", "functions", "model", "database")
-}
-CULTURE_FILE = r"^(.*)/definition/cultures/([^/]+)\.tmdl$"
+from estatelens.sources.files import at, path_part
+
+# Property words that end an expression, default order of calculation groups
 PROPERTIES = [
     "formatString:", "lineageTag:", "summarizeBy:", "dataType:", "sourceColumn:", "displayFolder:", "description:", "isHidden:", "isKey:",
     "sortByColumn:", "dataCategory:", "isNameInferred:", "isDataTypeInferred:", "annotation ", "changedProperty ", "extendedProperty ",
@@ -62,7 +57,7 @@ def _blocks(text: Column, pattern: str) -> Column:
 
 def _file(files: DataFrame, place: str) -> DataFrame:
     text = F.regexp_replace("content", "\r\n?", "\n").alias("text")
-    return files.where(F.col("path").rlike(place)).select(F.regexp_extract("path", place, 1).alias("root"), "path", text)
+    return at(files, place).select(path_part(place).alias("root"), "path", text)
 
 
 def unquoted(name: Column) -> Column:
@@ -101,7 +96,7 @@ def deeper_lines(body: Column, tabs: int) -> Column:
 
 def table_sections(files: DataFrame) -> DataFrame:
     """``(root, table_name, description, text)`` per table."""
-    found = _file(files, TABLE_FILE).select("root", F.explode(_blocks(F.col("text"), SECTION)).alias("_s"))
+    found = _file(files, "table").select("root", F.explode(_blocks(F.col("text"), SECTION)).alias("_s"))
     return found.select("root", unquoted(_after_word(F.col("_s.head"))).alias("table_name"), F.col("_s.docs").alias("description"), F.col("_s.body").alias("text"))
 
 
@@ -191,7 +186,7 @@ def hierarchies(found: DataFrame) -> DataFrame:
 
 
 def relationships(files: DataFrame) -> DataFrame:
-    found = _file(files, PLACES["relationships"]).select("root", F.posexplode(_blocks(F.col("text"), RELATIONSHIP)).alias("rel_no", "_r"))
+    found = _file(files, "relationships").select("root", F.posexplode(_blocks(F.col("text"), RELATIONSHIP)).alias("rel_no", "_r"))
     body = F.col("_r.body")
 
     def value(name: str) -> Column:
@@ -212,7 +207,7 @@ def relationships(files: DataFrame) -> DataFrame:
 
 
 def expressions(files: DataFrame) -> DataFrame:
-    found = _file(files, PLACES["expressions"]).select("root", F.explode(_blocks(F.col("text"), _named("expression"))).alias("_e"))
+    found = _file(files, "expressions").select("root", F.explode(_blocks(F.col("text"), _named("expression"))).alias("_e"))
     head = r"""(?s)^expression\s+('[^']+'|"[^"]+"|[\w.-]+)\s*=\s*(.*)$"""
     split = r"(?s)^(.*?) meta \[(.*)\][^\]]*$"
     rest = F.regexp_extract("_e.head", head, 2)
@@ -228,7 +223,7 @@ def expressions(files: DataFrame) -> DataFrame:
 
 
 def functions(files: DataFrame) -> DataFrame:
-    found = _file(files, PLACES["functions"]).select("root", F.explode(_blocks(F.col("text"), _named("function"))).alias("_f"))
+    found = _file(files, "functions").select("root", F.explode(_blocks(F.col("text"), _named("function"))).alias("_f"))
     head = r"(?s)^function\s+(?:'([^']+)'|(\S+))\s*=\s*(```)?(.*)$"
     first = trimmed(F.regexp_extract("_f.head", head, 4))
     fenced = F.regexp_extract("_f.head", head, 3) != ""
@@ -252,11 +247,11 @@ def models(files: DataFrame) -> DataFrame:
     def value(name: str) -> Column:
         return F.coalesce(trimmed(F.regexp_extract(body, rf"(?m)^\t{name}:(.*)$", 1)), F.lit("")).alias
 
-    level = _file(files, PLACES["database"]).select("root", F.regexp_extract("text", r"(?i)compatibilityLevel:\s*(\d+)", 1).try_cast("int").alias("compatibility_level"))
-    cultures = files.where(F.col("path").rlike(CULTURE_FILE)).groupBy(F.regexp_extract("path", CULTURE_FILE, 1).alias("root")).agg(
-        F.array_sort(F.collect_set(F.regexp_replace(base_name(F.col("path")), r"\.tmdl$", ""))).alias("cultures")  # languages of one model: a handful
+    level = _file(files, "database").select("root", F.regexp_extract("text", r"(?i)compatibilityLevel:\s*(\d+)", 1).try_cast("int").alias("compatibility_level"))
+    cultures = at(files, "culture").groupBy(path_part("culture").alias("root")).agg(
+        F.array_sort(F.collect_set(path_part("culture", 2))).alias("cultures")  # languages of one model: a handful
     )
-    found = _file(files, PLACES["model"]).select(
+    found = _file(files, "model").select(
         "root", F.coalesce(_after_word(block["head"]), F.lit("")).alias("name"), F.coalesce(block["docs"], F.lit("")).alias("description"), value("culture")("culture"),
         value("sourceQueryCulture")("source_query_culture"), F.coalesce(body.rlike(r"(?m)^\tdiscourageImplicitMeasures"), F.lit(False)).alias("discourage_implicit"),
         value("valueFilterBehavior")("value_filter"), value("defaultPowerBIDataSourceVersion")("data_source_version"),

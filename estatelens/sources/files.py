@@ -13,6 +13,20 @@ EXTENSIONS = ["tmdl", "json", "bim", "pbir"]
 SKIPPED_FOLDERS = r"/(?:\.pbi|\.git|node_modules|\.vs[^/]*)/"
 REPORT_ROOT = r"(?i)^(.*?/[^/]*\.Report)/"
 REPORT_SUFFIX, MODEL_SUFFIX = r"(?i)\.Report$", r"(?i)\.SemanticModel$"
+PLACES = {  # kind of a project file by its path
+    "pointer": r"^(.*)/definition\.pbir$",
+    "pages": r"^(.*)/definition/pages/pages\.json$",
+    "page": r"^(.*)/definition/pages/([^/]+)/page\.json$",
+    "visual": r"^(.*)/definition/pages/([^/]+)/visuals/([^/]+)/visual\.json$",
+    "table": r"^(.*)/definition/tables/[^/]+\.tmdl$",
+    "relationships": r"^(.*)/definition/relationships\.tmdl$",
+    "expressions": r"^(.*)/definition/expressions\.tmdl$",
+    "functions": r"^(.*)/definition/functions\.tmdl$",
+    "model": r"^(.*)/definition/model\.tmdl$",
+    "database": r"^(.*)/definition/database\.tmdl$",
+    "culture": r"^(.*)/definition/cultures/([^/]+)\.tmdl$",
+    "bim": r"^(.*?)(?:/definition)?/model\.bim$",
+}
 POINTER_PATH = r'"path"\s*:\s*("(?:[^"\\]++|\\.)*+")'
 
 
@@ -34,6 +48,25 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.substring_index(F.coalesce(below, "path"), "/", 1).alias("workspace"), "path", "content")
 
 
+def place(path: Column) -> Column:
+    return F.coalesce(*[F.when(path.rlike(pattern), name) for name, pattern in PLACES.items()], F.lit("other"))
+
+
+def at(files: DataFrame, name: str) -> DataFrame:
+    """The files of one place; on a staged corpus this reads one folder of it."""
+    return files.where(F.col("place") == name if "place" in files.columns else F.col("path").rlike(PLACES[name]))
+
+
+def path_part(name: str, group: int = 1) -> Column:
+    return F.regexp_extract("path", PLACES[name], group)
+
+
+def stage(files: DataFrame, folder: str) -> DataFrame:
+    """Write the corpus once, one folder per place, and return it: every reader then opens only the files it parses."""
+    files.withColumn("place", place(F.col("path"))).write.mode("overwrite").partitionBy("place").parquet(folder)
+    return files.sparkSession.read.parquet(folder)
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -63,7 +96,7 @@ def shallowest_report(files: DataFrame) -> DataFrame:
 
 def pointers(files: DataFrame) -> DataFrame:
     """``(workspace, report, pointer, paths)``: what ``definition.pbir`` names as its model; broken files name nothing."""
-    held = files.where(F.col("path").endswith("/definition.pbir")).where(F.try_parse_json("content").isNotNull())
+    held = at(files, "pointer").where(F.try_parse_json("content").isNotNull())
     found = F.concat(F.lit("["), F.array_join(F.regexp_extract_all("content", F.lit(POINTER_PATH), F.lit(1)), ","), F.lit("]"))
     paths = F.filter(F.from_json(found, "array<string>"), lambda p: p != "")
     named = F.get_json_object("content", "$.datasetReference.byPath.path")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatelens.estate import SCHEMAS, Estate
+from estatelens.session import ensure_checkpoint_dir
 from estatelens.sources import bim, blocks, report
 from estatelens.sources import files as corpus
 
@@ -15,9 +18,8 @@ MODEL_TABLES = ["models", "tables", "columns", "measures", "relationships", "par
 def formats(files: DataFrame) -> DataFrame:
     """``(root, format)`` per model folder: text blocks when a table file exists, else the JSON file, else none."""
     path, kind = F.col("path"), r"(?i)^(.*?/[^/]*\.SemanticModel)/"
-    each = files.where(path.rlike(kind)).select(
-        F.regexp_extract("path", kind, 1).alias("root"), path.rlike(blocks.TABLE_FILE).alias("_text"), path.rlike(bim.BIM_FILE).alias("_json")
-    )
+    each = files.where(path.rlike(kind)).select(F.regexp_extract("path", kind, 1).alias("root"), corpus.place(path).alias("_place"))
+    each = each.withColumns({"_text": F.col("_place") == "table", "_json": F.col("_place") == "bim"})
     chosen = F.when(F.bool_or("_text"), "tmdl").when(F.bool_or("_json"), "bim").otherwise("none")
     return each.groupBy("root").agg(chosen.alias("format"))
 
@@ -42,9 +44,15 @@ def model_frames(files: DataFrame) -> dict[str, DataFrame]:
     return frames
 
 
-def read_estate(spark: SparkSession, folder: str) -> Estate:
-    """Read every project below ``folder``."""
-    return estate_of(corpus.read_corpus(spark, folder))
+def read_estate(spark: SparkSession, folder: str, staging: str | None = None) -> Estate:
+    """Read every project below ``folder``.
+
+    The corpus is read once and staged by kind of file, under ``staging`` or in the checkpoint folder, since a dozen
+    readers each want a small part of it.
+    """
+    ensure_checkpoint_dir(spark)
+    staging = staging or f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4()}"
+    return estate_of(corpus.stage(corpus.read_corpus(spark, folder), staging))
 
 
 def estate_of(files: DataFrame) -> Estate:
@@ -56,11 +64,11 @@ def estate_of(files: DataFrame) -> Estate:
     used = projects.where(F.col("model").isNotNull()).select("model_id", F.col("model").alias("root"))
     reports = projects.where(F.col("report").isNotNull()).select("model_id", "report")
     frames = {name: df.join(used, "root").drop("root") for name, df in model_frames(files).items()}
-    pages = report.page_rows(files)
-    visuals = report.parsed_visuals(files, pages)
-    frames["pages"] = pages.drop("visual_count").join(reports, "report").drop("report")
-    frames["visuals"] = report.visual_rows(visuals).join(reports, "report").drop("report")
-    frames["bindings"] = report.binding_rows(visuals).join(reports, "report").drop("report")
+    pages, visuals = report.page_rows(files), report.parsed_visuals(files)
+    taken = {"pages": pages.drop("visual_count")}
+    taken["visuals"] = report.on_listed_pages(report.visual_rows(visuals), pages)
+    taken["bindings"] = report.on_listed_pages(report.binding_rows(visuals), pages)
+    frames.update({name: df.join(reports, "report").drop("report") for name, df in taken.items()})
 
     def shaped(name: str) -> DataFrame:
         wanted = files.sparkSession.createDataFrame([], SCHEMAS[name]).schema

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from estatelens.functions import patterns as P
 from estatelens.session import checkpoint
+from estatelens.sources.files import at, path_part
 
-# Where a report keeps its parts, and the fields read from them
-PAGES_FILE = r"^(.*)/definition/pages/pages\.json$"
-PAGE_FILE = r"^(.*)/definition/pages/([^/]+)/page\.json$"
-VISUAL_FILE = r"^(.*)/definition/pages/([^/]+)/visuals/([^/]+)/visual\.json$"
+# The fields read from page and visual files
 _SOURCE = "Expression struct<SourceRef: struct<Entity: string>>"
 _PROPERTY = f"struct<Property: string, {_SOURCE.replace(' ', ': ', 1)}>"
 FIELD = (
@@ -33,16 +31,12 @@ SLOT = 1 << 20
 def page_rows(files: DataFrame) -> DataFrame:
     """Pages in the report's order: name (else id), hidden flag, canvas size with defaults, number of visual files."""
     order = F.from_json("content", "pageOrder array<string>")["pageOrder"]
-    listed = files.where(F.col("path").rlike(PAGES_FILE)).select(
-        F.regexp_extract("path", PAGES_FILE, 1).alias("report"), F.posexplode(order).alias("page_no", "page_id")
+    listed = at(files, "pages").select(
+        path_part("pages").alias("report"), F.posexplode(order).alias("page_no", "page_id")
     )
     page = F.from_json("content", PAGE).alias("_p")
-    bodies = files.where(F.col("path").rlike(PAGE_FILE)).select(
-        F.regexp_extract("path", PAGE_FILE, 1).alias("report"), F.regexp_extract("path", PAGE_FILE, 2).alias("page_id"), page
-    )
-    counts = files.where(F.col("path").rlike(VISUAL_FILE)).groupBy(
-        F.regexp_extract("path", VISUAL_FILE, 1).alias("report"), F.regexp_extract("path", VISUAL_FILE, 2).alias("page_id")
-    ).agg(F.count(F.lit(1)).alias("visual_count"))
+    bodies = at(files, "page").select(path_part("page").alias("report"), path_part("page", 2).alias("page_id"), page)
+    counts = at(files, "visual").groupBy(path_part("visual").alias("report"), path_part("visual", 2).alias("page_id")).agg(F.count(F.lit(1)).alias("visual_count"))
     keys = ["report", "page_id"]
     width, height = P.DEFAULT_PAGE_SIZE
     return listed.join(bodies, keys, "left").join(counts, keys, "left").select(
@@ -54,14 +48,17 @@ def page_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def parsed_visuals(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """Readable visual files of listed pages: ids, type, title, and the parsed body in ``_v``."""
-    found = files.where(F.col("path").rlike(VISUAL_FILE)).select(
-        F.regexp_extract("path", VISUAL_FILE, 1).alias("report"), F.regexp_extract("path", VISUAL_FILE, 2).alias("page_id"),
-        F.regexp_extract("path", VISUAL_FILE, 3).alias("_folder"), "content",
+def on_listed_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of pages the report lists.  Applied to the small rows taken out of a visual, never to its text."""
+    return rows.join(pages.select("report", "page_id"), ["report", "page_id"], "left_semi")
+
+
+def parsed_visuals(files: DataFrame) -> DataFrame:
+    """Readable visual files: ids, type, title, and the parsed body in ``_v``."""
+    found = at(files, "visual").select(
+        path_part("visual").alias("report"), path_part("visual", 2).alias("page_id"), path_part("visual", 3).alias("_folder"), "content"
     )
-    listed = found.join(pages.select("report", "page_id"), ["report", "page_id"], "left_semi")
-    readable = listed.where(F.try_parse_json("content").isNotNull()).withColumn("_v", F.from_json("content", VISUAL))
+    readable = found.where(F.try_parse_json("content").isNotNull()).withColumn("_v", F.from_json("content", VISUAL))
     titles = F.filter(
         F.transform("_v.visual.visualContainerObjects.title", lambda t: t["properties"]["text"]["expr"]["Literal"]["Value"]),
         lambda t: t.isNotNull() & (t != ""),

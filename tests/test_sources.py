@@ -1,11 +1,14 @@
 """Project files to rows: text blocks, JSON models, reports, roots and pairs."""
 
 import json
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from estatelens import Estate
 from estatelens.operators import usage
+from estatelens.sinks import tables
 from estatelens.sources import bim, blocks, files, project, report
 
 SALES = """/// Sold goods
@@ -226,10 +229,10 @@ def test_report(spark, rows):
     pages = report.page_rows(corpus_files)
     assert rows(pages, "page_no", "page_id", "name", "hidden", "width", "height", "visual_count") == [
         (0, "p2", "p2", False, 1280.0, 720.0, 1), (1, "p1", "One", True, 800.0, 720.0, 2), (2, "p3", "p3", False, 1280.0, 720.0, 0)]
-    visuals = report.parsed_visuals(corpus_files, pages)
-    assert rows(report.visual_rows(visuals), "visual_id", "visual_type", "title", "x", "y", "z", "width", "height") == [
+    visuals = report.parsed_visuals(corpus_files)
+    assert rows(report.on_listed_pages(report.visual_rows(visuals), pages), "visual_id", "visual_type", "title", "x", "y", "z", "width", "height") == [
         ("v1", "barChart", "My title", 5.0, 6.5, 1.0, 100.0, 60.0), ("v3", "unknown", "unknown", 0.0, 0.0, 0.0, 100.0, 60.0)]
-    found = report.binding_rows(visuals)
+    found = report.on_listed_pages(report.binding_rows(visuals), pages)
     assert rows(found, "role", "field_type", "table_name", "field_name") == [
         ("Category", "column", "D", "Year"), ("Filter", "column", "T", "f"), ("Y", "aggregation", "T", "a"), ("Y", "measure", "T", "M"),
         ("dataPoint", "measure", "T", "Colour"), ("labels", "column", "T", "c")]
@@ -286,7 +289,9 @@ def test_walk_and_whole_estate(spark, rows, tmp_path):
     assert found.count() == len(texts) - 4
     assert {r["workspace"] for r in found.select("workspace").distinct().collect()} == {"ws"}
     assert rows(project.formats(found), "format") == [("bim",), ("tmdl",)]
-    estate = project.read_estate(spark, str(tmp_path))
+    staged = tempfile.mkdtemp(prefix="estate-")
+    tables.write_tables(project.read_estate(spark, str(tmp_path)), f"{staged}/estate")
+    estate = Estate.read(spark, f"{staged}/estate")
     status = usage.measure_status(estate)
     assert rows(status, "table_name", "name", "status") == [("T", "Colour", "direct"), ("T", "M", "direct"), ("T", "M", "unused"), ("T", "N", "unused")]
     assert rows(usage.column_status(estate, status).where("model_id like '%Main.Report'"), "name", "status") == [("a", "direct"), ("c", "direct"), ("f", "direct")]
