@@ -51,7 +51,7 @@ class Estate:
         self._frames[name] = frame
         return frame
 
-    def replace(self, **frames: DataFrame) -> Estate:
+    def replace(self, **frames: DataFrame | Callable[[], DataFrame]) -> Estate:
         return Estate(self.spark, {**self._frames, **frames})
 
     @classmethod

@@ -58,11 +58,11 @@ def duplicate_bodies(measures: DataFrame) -> DataFrame:
     """Measures whose normalized body another measure of the model has: ``(model_id, body_hash, copies, table, name)``.
 
     Grouped by a 256-bit digest so long bodies are not shuffled; members stay rows, a body a third of the estate
-    shares never lands in one array.
+    shares never lands in one array.  The digests are written once, so every text is read and normalized once.
     """
     norm = text.normalized_body(F.col("body"))
-    keyed = measures.select("model_id", "table_name", "name", norm.alias("_norm")).where(F.length("_norm") >= P.DUPLICATE_MIN_LENGTH)
-    hashed = keyed.select("model_id", "table_name", "name", F.sha2("_norm", 256).alias("body_hash"))
+    digest = F.when(F.length(norm) >= P.DUPLICATE_MIN_LENGTH, F.sha2(norm, 256))
+    hashed = checkpoint(measures.select("model_id", "table_name", "name", digest.alias("body_hash"))).where(F.col("body_hash").isNotNull())
     groups = hashed.groupBy("model_id", "body_hash").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
     return hashed.join(groups, ["model_id", "body_hash"])
 

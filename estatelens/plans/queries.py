@@ -26,30 +26,32 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = tune(spark), sf_dir
-        self.e = Estate.derived(spark, sf_dir)
+        self.e = e = Estate.derived(spark, sf_dir)
+        # For queries that use a derived table several times: derived once and written, as a saved estate would be.
+        self.s = e.replace(measures=lambda: checkpoint(e.measures), relationships=lambda: checkpoint(e.relationships))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return checkpoint(refs.dependencies(self.e.measures))
+        return checkpoint(refs.dependencies(self.s.measures))
 
     @cached_property
     def usage(self) -> DataFrame:
-        return usage.field_usage(self.e.bindings)
+        return checkpoint(usage.field_usage(self.e.bindings))
 
     @cached_property
     def mstatus(self) -> DataFrame:
-        return usage.measure_status(self.e, "strict", self.edges, self.usage)
+        return usage.measure_status(self.s, "strict", self.edges, self.usage)
 
     @cached_property
     def cstatus(self) -> DataFrame:
-        return usage.column_status(self.e, checkpoint(self.mstatus), "compat", self.usage)
+        return usage.column_status(self.s, checkpoint(self.mstatus), "compat", self.usage)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return roles.table_summary(self.e)
+        return roles.table_summary(self.s)
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -65,11 +67,11 @@ class Context:
 
     @cached_property
     def page_summary(self) -> DataFrame:
-        return pages.page_summary(self.e)
+        return pages.page_summary(self.s)
 
     @cached_property
     def audit(self) -> rules.Audit:
-        return rules.Audit(self.e)
+        return rules.Audit(self.s)
 
     @cached_property
     def fields(self) -> DataFrame:
@@ -214,37 +216,37 @@ Q["j01_measure_bindings"] = lambda c: bound(c, c.e.measures, True)
 Q["j02_column_bindings"] = lambda c: bound(c, c.e.columns, False)
 Q["j03_dependencies"] = lambda c: refs.dependencies(c.e.measures)
 Q["j04_reverse_dependencies"] = lambda c: refs.reverse_dependencies(refs.dependencies(c.e.measures))
-Q["j05_columns_in_used_measures"] = lambda c: usage.referenced_columns(c.e, c.mstatus, "compat").withColumn("mode", F.lit("compat")).unionByName(
-    usage.referenced_columns(c.e, c.mstatus, "strict").withColumn("mode", F.lit("strict"))
+Q["j05_columns_in_used_measures"] = lambda c: usage.referenced_columns(c.s, c.mstatus, "compat").withColumn("mode", F.lit("compat")).unionByName(
+    usage.referenced_columns(c.s, c.mstatus, "strict").withColumn("mode", F.lit("strict"))
 )
 Q["j06_relationship_columns"] = lambda c: usage.relationship_columns(c.e.relationships)
 Q["j07_key_targets"] = lambda c: roles.column_keys(c.e.columns, c.e.relationships).select("table_name", "name", "fk_table", "fk_column", "incoming_refs", "inactive_refs")
 Q["j07_incoming_refs"] = lambda c: roles.incoming_refs(c.e.columns, c.e.relationships)
 Q["j08_resolved_partitions"] = lambda c: c.resolved.select("table_name", "part_no", "m_body")
-Q["j09_broken_references"] = lambda c: refs.broken_references(c.e.measures, c.e.columns, c.e.calc_items, c.e.functions)
+Q["j09_broken_references"] = lambda c: refs.broken_references(c.s.measures, c.s.columns, c.s.calc_items, c.s.functions)
 Q["j10_inactive_without_caller"] = lambda c: refs.inactive_without_caller(c.e.relationships, c.e.measures).select("from_table", "from_column", "to_table", "to_column")
 Q["j10_inactive_strict"] = lambda c: refs.inactive_without_caller(c.e.relationships, c.e.measures, "strict").select("from_table", "from_column", "to_table", "to_column")
 Q["j11_function_uses"] = lambda c: refs.function_uses(c.e.functions, c.e.measures)
 Q["j12_column_lineage"] = lambda c: refs.column_mentions(c.e.measures, c.e.columns)
 Q["j12_column_lineage_strict"] = lambda c: refs.column_refs(c.e.measures, c.e.columns)
-Q["j13_source_map"] = lambda c: impact.source_map(c.e, c.sources, c.summary)
-Q["j14_visible_edges"] = lambda c: roles.visible_edges(c.e.relationships, c.summary.where((col("origin") == "user") & (col("role") != "Bridge"))).select(
+Q["j13_source_map"] = lambda c: impact.source_map(c.s, c.sources, c.summary)
+Q["j14_visible_edges"] = lambda c: roles.visible_edges(c.s.relationships, c.summary.where((col("origin") == "user") & (col("role") != "Bridge"))).select(
     "from_table", "from_column", "to_table", "to_column"
 )
 Q["j15_field_wells"] = lambda c: pages.field_wells(c.e).select("page_id", "visual_id", "category", "role", "table_name", "field_name")
 
 # ---- G: aggregations --------------------------------------------------------------------------------------------
 
-Q["g01_usage_counts"] = lambda c: c.usage
+Q["g01_usage_counts"] = lambda c: usage.field_usage(c.e.bindings)
 Q["g01_usage_counts_by_page_name"] = lambda c: usage.field_usage(usage.with_page_names(c.e.bindings, c.e.pages), "page_name").select(
     "kind", "table_name", "field_name", "usage_count", "page_count"
 )
-Q["g02_totals"] = lambda c: usage.totals(c.e, c.mstatus, c.cstatus)
+Q["g02_totals"] = lambda c: usage.totals(c.s, c.mstatus, c.cstatus)
 Q["g03_table_counts"] = lambda c: c.summary.select("table_name", "column_count", "measure_count", "key_count", "fk_count", "hidden_count", "partition_count")
 Q["g04_page_summary"] = lambda c: c.page_summary.select("page_id", "visual_count", "measure_count", "column_count", "slicer_count", "coverage")
 Q["g04_type_counts"] = lambda c: pages.type_counts(c.e)
 Q["g04_type_counts_by_title"] = lambda c: pages.type_counts(c.e, "compat")
-Q["g05_source_index"] = lambda c: impact.source_index(c.e, c.sources)
+Q["g05_source_index"] = lambda c: impact.source_index(c.s, c.sources)
 Q["g06_status_by_table"] = lambda c: usage.status_by_table(c.mstatus)
 Q["g07_role_counts"] = lambda c: roles.role_counts(c.summary)
 Q["g07_star_schema"] = lambda c: roles.star_schema(c.summary)
@@ -258,8 +260,8 @@ Q["g10_duplicate_documents"] = lambda c: rules.duplicate_bodies(
 ).select("name", "body_hash", "copies")
 Q["g11_source_buckets"] = lambda c: impact.source_buckets(c.summary, c.sources)
 Q["g12_step_cohorts"] = lambda c: impact.step_cohorts(impact.step_signatures(c.resolved))
-Q["g13_source_type_counts"] = lambda c: impact.source_map(c.e, c.sources, c.summary).groupBy("source_type").agg(F.count(F.lit(1)).alias("columns"))
-Q["g14_glossary_counts"] = lambda c: reports.glossary_counts(reports.glossary(c.e, c.mstatus, c.summary))
+Q["g13_source_type_counts"] = lambda c: impact.source_map(c.s, c.sources, c.summary).groupBy("source_type").agg(F.count(F.lit(1)).alias("columns"))
+Q["g14_glossary_counts"] = lambda c: reports.glossary_counts(reports.glossary(c.s, c.mstatus, c.summary))
 
 
 def coverage_ratios(c: Context) -> DataFrame:
@@ -269,7 +271,7 @@ def coverage_ratios(c: Context) -> DataFrame:
     bare = ~text.non_empty(col("description"))
     direct = col("status") == "direct"
     parts = [
-        share(c.summary.where(col("origin") == "user"), "tables without description", bare), share(c.audit.user(c.e.measures), "measures without description", bare),
+        share(c.summary.where(col("origin") == "user"), "tables without description", bare), share(c.audit.user(c.s.measures), "measures without description", bare),
         share(c.audit.user(c.e.columns), "columns without description", bare), share(c.audit.user(c.audit.measure_status), "measures direct", direct),
         share(c.audit.user(c.audit.column_status), "columns direct", direct),
     ]
@@ -281,7 +283,7 @@ def coverage_ratios(c: Context) -> DataFrame:
 
 Q["g15_coverage_ratios"] = coverage_ratios
 Q["g16_fk_columns_per_dimension"] = lambda c: roles.fk_columns_per_dimension(c.e.relationships)
-Q["g17_broken_by_expression"] = lambda c: rules.grouped_broken(refs.broken_references(c.e.measures, c.e.columns, c.e.calc_items, c.e.functions))
+Q["g17_broken_by_expression"] = lambda c: rules.grouped_broken(refs.broken_references(c.s.measures, c.s.columns, c.s.calc_items, c.s.functions))
 Q["g18_proxy_groups"] = lambda c: refs.external_proxies(c.e.measures, c.e.expressions).groupBy("model_id", col("external_model").alias("remote_model")).agg(
     F.count(F.lit(1)).alias("n")
 ).select("remote_model", "n", F.lit("measures").alias("what")).unionByName(
@@ -307,19 +309,19 @@ Q["w06_visual_z_order"] = lambda c: pages.z_order(c.e.visuals).select("page_id",
 Q["l01_sorted_measures"] = lambda c: number_rows(
     c.mstatus, ["model_id"], [col("usage_count").desc(), col("name").asc()]
 ).select("row_no", "name", "usage_count")
-Q["l02_source_index_order"] = lambda c: number_rows(impact.source_index(c.e, c.sources), ["model_id"], impact.source_index_order()).select("row_no", "source_key")
+Q["l02_source_index_order"] = lambda c: number_rows(impact.source_index(c.s, c.sources), ["model_id"], impact.source_index_order()).select("row_no", "source_key")
 Q["l03_biggest_tables"] = lambda c: reports.biggest_tables(c.summary)
 Q["l04_search"] = lambda c: lineage.search(c.fields, "m1").select("kind", "table_name", "name", "status", "match")
 Q["l04_search_overflow"] = lambda c: lineage.search_hits(c.fields, "m1").agg(
     F.count(F.lit(1)).alias("hits"), F.greatest(F.count(F.lit(1)) - lineage.SEARCH_LIMIT, F.lit(0)).alias("more")
 )
 Q["l05_page_order"] = lambda c: reports.page_index(c.page_summary).select("row_no", "page_id")
-Q["l06_er_columns"] = lambda c: reports.er_columns(c.e, c.summary)
+Q["l06_er_columns"] = lambda c: reports.er_columns(c.s, c.summary)
 Q["l07_role_order"] = lambda c: c.summary.where(col("origin") == "user").select("table_name", "role", roles.role_rank().alias("role_order"))
 
 # ---- U: set operations ------------------------------------------------------------------------------------------
 
-Q["u01_glossary"] = lambda c: reports.glossary(c.e, c.mstatus, c.summary)
+Q["u01_glossary"] = lambda c: reports.glossary(c.s, c.mstatus, c.summary)
 Q["u02_table_names"] = lambda c: refs.table_names(c.e.columns, c.e.measures, c.e.calc_items)
 Q["u03_all_pages"] = lambda c: c.page_summary.select("page_id", "name", "hidden", "width", "height", "measure_count", "column_count")
 Q["u04_user_tables"] = lambda c: c.summary.where(col("origin") == "user").select("table_name")
@@ -331,18 +333,18 @@ Q["u06_table_relationships"] = lambda c: roles.table_relationships(c.e.relations
 # ---- R: graph ---------------------------------------------------------------------------------------------------
 
 Q["r01_measure_status"] = lambda c: c.mstatus
-Q["r01_measure_status_compat"] = lambda c: usage.measure_status(c.e, "compat")
+Q["r01_measure_status_compat"] = lambda c: usage.measure_status(c.s, "compat")
 Q["r02_column_status"] = lambda c: c.cstatus
-Q["r02_column_status_strict"] = lambda c: usage.column_status(c.e, checkpoint(c.mstatus), "strict", c.usage).select("table_name", "name", "status")
+Q["r02_column_status_strict"] = lambda c: usage.column_status(c.s, checkpoint(c.mstatus), "strict", c.usage).select("table_name", "name", "status")
 Q["r03_dead_chains"] = lambda c: graph.dead_chains(c.edges, c.mstatus).select("name")
 Q["r03_dead_chains_given_status"] = lambda c: graph.dead_chains(
     c.edges, c.mstatus.withColumn("status", F.when(col("status") == "direct", "direct").otherwise("indirect"))
 ).select("name")
 Q["r04_orphans"] = lambda c: usage.orphans(c.mstatus, c.edges)
 Q["r05_cycle_members"] = lambda c: graph.cycles(c.edges).select("component", "node")
-Q["r06_lineage"] = lambda c: lineage.lineage_edges(c.e, edges=c.edges)
+Q["r06_lineage"] = lambda c: lineage.lineage_edges(c.s, edges=c.edges)
 Q["r07_table_roles"] = lambda c: c.summary.select("table_name", "role", "outgoing", "incoming")
-Q["r08_source_impact"] = lambda c: impact.source_impact(c.e, c.sources)
+Q["r08_source_impact"] = lambda c: impact.source_impact(c.s, c.sources)
 
 # ---- A: audit ---------------------------------------------------------------------------------------------------
 
@@ -359,34 +361,34 @@ Q["a25_severity_summary"] = lambda c: rules.severity_summary(c.audit.findings())
 
 # ---- D: report tables -------------------------------------------------------------------------------------------
 
-Q["d01_model_properties"] = lambda c: reports.model_properties(c.e, usage.totals(c.e, c.mstatus, c.cstatus))
+Q["d01_model_properties"] = lambda c: reports.model_properties(c.s, usage.totals(c.s, c.mstatus, c.cstatus))
 Q["d01_relationship_inventory"] = lambda c: reports.relationship_inventory(c.e.relationships)
 Q["d01_expression_inventory"] = lambda c: reports.expression_inventory(c.e.expressions)
 Q["d01_function_summary"] = lambda c: reports.function_summary(c.e.functions)
 Q["d01_calc_group_summary"] = lambda c: reports.calc_group_summary(c.e.calc_items)
 Q["d01_page_table"] = lambda c: reports.page_table(c.page_summary)
-Q["d02_measures_lite"] = lambda c: reports.measures_lite(c.e, c.mstatus)
-Q["d02_measures_detailed"] = lambda c: reports.measures_detailed(c.e, c.mstatus, c.edges)
+Q["d02_measures_lite"] = lambda c: reports.measures_lite(c.s, c.mstatus)
+Q["d02_measures_detailed"] = lambda c: reports.measures_detailed(c.s, c.mstatus, c.edges)
 Q["d03_functions"] = lambda c: reports.functions_reference(c.e)
 Q["d04_calc_groups"] = lambda c: reports.calc_groups_reference(c.e)
-Q["d05_data_dictionary"] = lambda c: reports.data_dictionary(c.e, c.summary)
+Q["d05_data_dictionary"] = lambda c: reports.data_dictionary(c.s, c.summary)
 Q["d05_hierarchies"] = lambda c: reports.hierarchy_levels(c.e.hierarchies)
 Q["d06_source_report"] = lambda c: reports.source_report(c.summary, c.sources)
 Q["d06_raw_bodies"] = lambda c: impact.raw_bodies(c.resolved)
 Q["d07_visual_bindings"] = lambda c: reports.visual_bindings(c.e)
 Q["d09_shown_findings"] = lambda c: rules.shown_findings(c.audit.findings())
 Q["d10_documents_per_mode"] = lambda c: reports.emitted_documents(c.e)
-Q["d11_usage_tiles"] = lambda c: reports.usage_tiles(usage.totals(c.e, c.mstatus, c.cstatus), pages.page_totals(c.page_summary))
-Q["d13_er_edges"] = lambda c: roles.er_edges(c.e.relationships, reports.er_tables(c.summary))
-Q["d14_broken_links"] = lambda c: reports.broken_links(reports.links(c.e, refs.dependencies(c.e.measures)), reports.anchors(c.summary, c.e.measures))
+Q["d11_usage_tiles"] = lambda c: reports.usage_tiles(usage.totals(c.s, c.mstatus, c.cstatus), pages.page_totals(c.page_summary))
+Q["d13_er_edges"] = lambda c: roles.er_edges(c.s.relationships, reports.er_tables(c.summary))
+Q["d14_broken_links"] = lambda c: reports.broken_links(reports.links(c.s, refs.dependencies(c.s.measures)), reports.anchors(c.summary, c.s.measures))
 
 # ---- K: sinks (the rows they write) -----------------------------------------------------------------------------
 
-Q["k01_csv_measures"] = lambda c: csv.measure_rows(c.e, c.mstatus, "re", unused=True)
+Q["k01_csv_measures"] = lambda c: csv.measure_rows(c.s, c.mstatus, "re", unused=True)
 Q["k01_csv_columns"] = lambda c: csv.column_rows(c.e, c.cstatus)
 Q["k01_csv_relationships"] = lambda c: csv.relationship_rows(c.e.relationships)
-Q["k01_csv_source_map"] = lambda c: csv.source_map_rows(impact.source_map(c.e, c.sources, c.summary))
-Q["k03_markdown_measures"] = lambda c: reports.measures_lite(c.e, c.mstatus).select(
+Q["k01_csv_source_map"] = lambda c: csv.source_map_rows(impact.source_map(c.s, c.sources, c.summary))
+Q["k03_markdown_measures"] = lambda c: reports.measures_lite(c.s, c.mstatus).select(
     "name", md.table_row(col("name"), col("table_name"), col("status"), col("format"), col("description")).alias("line")
 )
 

@@ -26,6 +26,7 @@ VISUAL = (
 )
 SECTION = 1 << 40  # projections, filters and formatting follow each other in a visual's binding numbers
 SLOT = 1 << 20
+LEVELS = 3
 
 
 def page_rows(files: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def filter_bindings(visuals: DataFrame) -> DataFrame:
 def formatting_bindings(visuals: DataFrame) -> DataFrame:
     """Field references anywhere below a visual's ``objects``; the object is the role.
 
-    One round per nesting level: nodes of a level are checked and replaced by their children; only nodes whose text
-    still holds an ``expr`` go on, so a round sees little and the loop ends with the deepest reference.
+    A round checks LEVELS nesting levels and replaces the nodes by their children; only nodes whose text still holds an
+    ``expr`` go on, so a round sees little and the loop ends with the deepest reference.
     """
     spark = visuals.sparkSession
     objects = visuals.where(F.col("content").contains('"objects"')).select(
@@ -135,13 +136,14 @@ def formatting_bindings(visuals: DataFrame) -> DataFrame:
         # Variants cannot be checkpointed in every format, their text can.
         texts = level.withColumn("_node", F.to_json("_node")).where(F.col("_node").contains('"expr"'))
         texts = checkpoint(texts.observe(seen, F.count(F.lit(1)).alias("n")))
-        expr = F.from_json(F.get_json_object("_node", "$.expr"), FIELD)
-        here = _bindings(texts, F.col("_role"), expr, F.lit(2 * SECTION) + F.col("_at").cast("long") * SLOT)
-        found = here if found is None else found.unionByName(here)
+        level = texts.withColumn("_node", F.parse_json("_node"))
+        for _ in range(LEVELS):
+            expr = F.from_json(F.to_json(F.try_variant_get("_node", "$.expr", "variant")), FIELD)
+            here = _bindings(level, F.col("_role"), expr, F.lit(2 * SECTION) + F.col("_at").cast("long") * SLOT)
+            found = here if found is None else found.unionByName(here)
+            level = spark.sql("select v.* except (_node), e.value as _node from {v} v, lateral variant_explode(v._node) e", v=level)
         if seen.get["n"] == 0:
             return found
-        nodes = texts.withColumn("_node", F.parse_json("_node"))
-        level = spark.sql("select v.* except (_node), e.value as _node from {v} v, lateral variant_explode(v._node) e", v=nodes)
 
 
 def binding_rows(visuals: DataFrame) -> DataFrame:
