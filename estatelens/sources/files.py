@@ -83,9 +83,10 @@ def roots(files: DataFrame) -> DataFrame:
     """``(workspace, kind, root)`` for every folder named ``*.Report`` or ``*.SemanticModel`` at any depth."""
     folders = F.split(parent(F.col("path")), "/")
     upto = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.array_join(F.slice(folders, 1, n), "/"))
-    each = files.select("workspace", F.explode(upto).alias("root"))
+    named = F.filter(upto, lambda folder: folder.rlike(REPORT_SUFFIX) | folder.rlike(MODEL_SUFFIX))
+    each = files.select("workspace", F.explode(named).alias("root"))
     kind = F.when(F.col("root").rlike(REPORT_SUFFIX), "report").when(F.col("root").rlike(MODEL_SUFFIX), "model")
-    return each.select("workspace", kind.alias("kind"), "root").where(F.col("kind").isNotNull()).distinct()
+    return each.distinct().select("workspace", kind.alias("kind"), "root")
 
 
 def shallowest_report(files: DataFrame) -> DataFrame:
