@@ -107,16 +107,37 @@ def _bindings(df: DataFrame, role: Column, field: Column, seq: Column) -> DataFr
     return found.where(F.col("_f").isNotNull()).select("report", "seq", "page_id", "visual_id", "visual_type", "title", "role", "_f.*")
 
 
+def _placed(role: Column, seq: Column, field: Column) -> Column:
+    return F.struct(role.alias("role"), seq.cast("long").alias("seq"), field.alias("field"))
+
+
+def _in_wells() -> Column:
+    """Fields in the wells of a visual, in order; the well is the role."""
+
+    def well(entry: Column, at: Column) -> Column:
+        return F.transform(entry["value"]["projections"], lambda p, n: _placed(entry["key"], at.cast("long") * SLOT + n, p["field"]))
+
+    wells = F.filter(F.map_entries("_v.visual.query.queryState"), lambda e: e["value"]["projections"].isNotNull())
+    return F.flatten(F.transform(wells, well))
+
+
+def _in_filters() -> Column:
+    return F.transform("_v.filterConfig.filters", lambda p, n: _placed(F.lit("Filter"), F.lit(SECTION) + n, p["field"]))
+
+
+def _exploded(visuals: DataFrame, *places: Column) -> DataFrame:
+    """All places in one pass, so a visual is parsed once for them."""
+    none = F.array().cast(f"array<struct<role: string, seq: bigint, field: {FIELD}>>")
+    each = visuals.select(*VISUAL_KEYS, F.explode(F.concat(*[F.coalesce(p, none) for p in places])).alias("_p"))
+    return _bindings(each, F.col("_p.role"), F.col("_p.field"), F.col("_p.seq"))
+
+
 def projection_bindings(visuals: DataFrame) -> DataFrame:
-    """Fields in the wells of a visual; the well is the role."""
-    wells = visuals.select(*VISUAL_KEYS, F.posexplode(F.map_entries("_v.visual.query.queryState")).alias("_w", "_e"))
-    fields = wells.select(*VISUAL_KEYS, "_w", F.col("_e.key").alias("_role"), F.posexplode("_e.value.projections").alias("_n", "_p"))
-    return _bindings(fields, F.col("_role"), F.col("_p.field"), F.col("_w").cast("long") * SLOT + F.col("_n"))
+    return _exploded(visuals, _in_wells())
 
 
 def filter_bindings(visuals: DataFrame) -> DataFrame:
-    filters = visuals.select(*VISUAL_KEYS, F.posexplode("_v.filterConfig.filters").alias("_n", "_p"))
-    return _bindings(filters, F.lit("Filter"), F.col("_p.field"), F.lit(SECTION) + F.col("_n"))
+    return _exploded(visuals, _in_filters())
 
 
 def formatting_bindings(visuals: DataFrame) -> DataFrame:
@@ -147,4 +168,4 @@ def formatting_bindings(visuals: DataFrame) -> DataFrame:
 
 
 def binding_rows(visuals: DataFrame) -> DataFrame:
-    return projection_bindings(visuals).unionByName(filter_bindings(visuals)).unionByName(formatting_bindings(visuals))
+    return _exploded(visuals, _in_wells(), _in_filters()).unionByName(formatting_bindings(visuals))
