@@ -9,9 +9,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens import session
 from estatelens.llm import bpe, chat, decontamination, jaccard, language, licenses, neighbours, pii, quality, token_files
 from estatelens.llm.common import table
+from estatelens.session import tune
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A conversation that says the usual control strings.
@@ -66,7 +66,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     """The session's settings, and this package on the path of local workers that were started elsewhere."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        session.tune(spark)
+        tune(spark)
         paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
         if ROOT not in paths:
             spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [ROOT, *paths]))
