@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from estatelens.llm.common import as_bytes, settle, slices
 from estatelens.llm.contexts import ContextTable, grams
@@ -260,6 +261,6 @@ def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             made = [*part.columns, pa.array(shared.value.totals(texts)[:, 0]), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(made, [*part.schema.names, "_bits", "_size"])
 
-    schema = docs.schema.add("_bits", "double").add("_size", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_bits", T.DoubleType()), T.StructField("_size", T.LongType())])
     scored = docs.mapInArrow(run, schema)
     return scored.where(stays(F.col("_bits"), F.col("_size"), F.col("lang"), classifier.bands)).select(*names)

@@ -102,17 +102,17 @@ from done group by conv_id
 
 _WINDOWS = rf"""
 with words as (
-  select doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as w from documents
+  select doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents
 ), items as (
-  select cast(item_id as varchar) as item, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') as w from benchmark
+  select cast(item_id as varchar) as item, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark
 ), cut as (
   select distinct item, array_to_string(w[s + 1 : s + 10], ' ') as win, least(len(w), 10) as n
   from items, unnest(range(greatest(len(w) - 10, 0) + 1)) as t(s) where len(w) > 0
 ), sizes as (select distinct n from cut),
-at as (
+spots as (
   select doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') as win
   from words, sizes, unnest(range(greatest(len(w) - n + 1, 0))) as t(s)
-), hits as (select distinct doc_id, s, at.n, item from at join cut on at.win = cut.win and at.n = cut.n),
+), hits as (select distinct doc_id, s, spots.n, item from spots join cut on spots.win = cut.win and spots.n = cut.n),
 places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from hits) group by doc_id),
 held as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hits group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
@@ -122,7 +122,7 @@ from words left join places using (doc_id) left join held using (doc_id)
 
 _JACCARD = rf"""
 with recursive words as materialized (
-  select doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents
+  select doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
 ), sets as materialized (
   select distinct doc_id, array_to_string(w[s + 1 : s + 3], ' ') as g from words, unnest(range(greatest(len(w) - 3, 0) + 1)) as t(s) where len(w) > 0
 ), sizes as materialized (select doc_id, count(*) as n from sets group by doc_id),
