@@ -57,8 +57,9 @@ def test_orders_are_total_and_rare_first():
     often = sets[10:20]
     common = np.sort(((often >> np.uint64(32)).astype(np.int64) << 8) | 5)
     for seed in range(jaccard.ORDERS):
-        order = jaccard.ranked(sets, common, seed)
+        order = jaccard.prefix(sets, jaccard.frequency(sets, common), len(sets), seed)
         assert set(order) == set(sets) and set(order[-10:]) == set(often)
+        assert (jaccard.prefix(sets, jaccard.frequency(sets, common), 50, seed) == order[:50]).all()
 
 
 def nearest(rows, queries, k):
