@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -31,10 +32,14 @@ from estatelens.llm.common import slices
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a task's table of words already encoded; it is begun anew when full.
 REMEMBERED = 400_000
+#: Bits of an id in a pair's key.
+ID_BITS = 20
 #: White_Space of Unicode; Python's own split also takes \x1c-\x1f.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 GAPS = regex.compile(f"[{SPACE}]+")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+#: Most pieces: letters of Latin-1, which normal form leaves alone, then signs that stand for nothing else.
+SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:;=-@\[-`{-~]*)")
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
@@ -62,6 +67,13 @@ class MergeList:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((left, right), rank)
         self.lookahead, self.longest = self._lookahead()
+        # The same by id: a byte's symbol, that with the word's end, a pair's rank and what it makes.
+        self.base = [self.vocab.get(c, -1) for c in self.symbols]
+        self.ended = {self.vocab[c]: self.vocab[c + self.suffix] for c in self.symbols if c in self.vocab and c + self.suffix in self.vocab}
+        known = [(self.vocab.get(a, -1), self.vocab.get(b, -1), self.vocab.get(a + b, -1)) for a, b in self.merges]
+        self.ranks = {a << ID_BITS | b: rank for rank, (a, b, made) in enumerate(known) if min(a, b, made) >= 0}
+        self.made = [made for _, _, made in known]
+        self.sizes = {i: self.size(t) for t, i in self.vocab.items()}
 
     def size(self, token: str) -> int:
         """Symbols of a token; the word's end adds none."""
@@ -92,33 +104,33 @@ class MergeList:
             need, longest = max(need, self.size(right) + own), max(longest, self.size(left + right))
         return need, longest
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """The tokens of a sequence of symbols: the pair of lowest rank first, leftmost first."""
-        rank, big = self.merges.get, len(self.merges)
-        ranks = [rank(pair, big) for pair in zip(symbols, symbols[1:])]
+    def merge(self, ids: list[int]) -> list[int]:
+        """The token ids of a sequence of symbol ids, in place: the pair of lowest rank first, leftmost first."""
+        rank, made, big = self.ranks.get, self.made, len(self.made)
+        ranks = [rank(a << ID_BITS | b, big) for a, b in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
             if best == big:
                 break
             i = ranks.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            del ranks[i]
+            del ids[i], ranks[i]
+            ids[i] = here = made[best]
             if i < len(ranks):
-                ranks[i] = rank((symbols[i], symbols[i + 1]), big)
+                ranks[i] = rank(here << ID_BITS | ids[i + 1], big)
             if i:
-                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), big)
-        return symbols
+                ranks[i - 1] = rank(ids[i - 1] << ID_BITS | here, big)
+        return ids
 
 
 class Transducer:
-    """Takes the symbols of one word bit by bit and gives its token ids as they become stable."""
+    """Takes the symbol ids of one word bit by bit and gives its token ids as they become stable."""
 
     def __init__(self, merges: MergeList, window: int = 0):
         self.list = merges
         self.window = max(window, 2 * (merges.lookahead + merges.longest))
-        self.held: list[str] = []
+        self.held: list[int] = []
 
-    def feed(self, symbols: Iterable[str]) -> Iterator[int]:
+    def feed(self, symbols: Iterable[int]) -> Iterator[int]:
         symbols = iter(symbols)
         while more := list(islice(symbols, self.window)):
             self.held += more
@@ -127,20 +139,24 @@ class Transducer:
 
     def _settled(self) -> Iterator[int]:
         """Tokens that end at least a lookahead before the end of what is held; they leave."""
-        end = 0
+        end, sizes = 0, self.list.sizes
         for token in self.list.merge(self.held[:]):
-            if end + self.list.size(token) > len(self.held) - self.list.lookahead:
+            if end + sizes[token] > len(self.held) - self.list.lookahead:
                 break
-            end += self.list.size(token)
-            yield self.list.vocab[token]
+            end += sizes[token]
+            yield token
         del self.held[:end]
 
-    def finish(self) -> Iterator[int]:
+    def finish(self) -> list[int]:
         """The rest, with the word's end marked."""
-        if self.held:
-            self.held[-1] += self.list.suffix
-            yield from (self.list.vocab[t] for t in self.list.merge(self.held))
-            self.held = []
+        held, self.held = self.held, []
+        return self.whole(held) if held else []
+
+    def whole(self, symbols: list[int]) -> list[int]:
+        """A word, or its rest, that fits into the window."""
+        if self.list.suffix:
+            symbols[-1] = self.list.ended[symbols[-1]]
+        return self.list.merge(symbols)
 
 
 class Encoder:
@@ -155,8 +171,8 @@ class Encoder:
     def word(self, word: str) -> tuple[int, ...]:
         got = self.words.get(word)
         if got is None:
-            machine = self.machine
-            got = (*machine.feed(map(self.list.symbols.__getitem__, word.encode())), *machine.finish())
+            symbols, machine = list(map(self.list.base.__getitem__, word.encode())), self.machine
+            got = tuple(machine.whole(symbols) if len(symbols) <= machine.window else (*machine.feed(symbols), *machine.finish()))
             if len(word) <= 64:
                 if len(self.words) >= self.remembered:
                     self.words.clear()
@@ -164,21 +180,30 @@ class Encoder:
         return got
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a piece of text without white space."""
-        ids: list[int] = []
-        at = 0
-        for found in self.specials.finditer(chunk):
-            self._plain(chunk[at : found.start()], ids)
-            ids.append(self.list.special[found.group()])
-            at = found.end()
-        self._plain(chunk[at:], ids)
-        got = tuple(ids)
+        """``piece``, remembered."""
+        got = self.piece(chunk)
         if len(chunk) <= 64:
             if len(self.chunks) >= self.remembered:
                 self.chunks.clear()
             self.chunks[chunk] = got
         return got
 
+    def piece(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a piece of text without white space."""
+        if simple := SIMPLE.fullmatch(chunk):
+            letters, signs = simple.groups()
+            got = (self.word(letters.lower()) if letters else ()) + (self.word(signs) if signs else ())
+        else:
+            ids: list[int] = []
+            at = 0
+            for found in self.specials.finditer(chunk):
+                self._plain(chunk[at : found.start()], ids)
+                ids.append(self.list.special[found.group()])
+                at = found.end()
+            self._plain(chunk[at:], ids)
+            got = tuple(ids)
+        return got
+
     def _plain(self, piece: str, ids: list[int]) -> None:
         if not piece.isascii():
             # Each character is lowered by itself: a sigma at a word's end stays an ordinary one.

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.llm.bpe import GAPS, ODD_SPACE, TOKENIZER
+from estatelens.llm.bpe import GAPS, ODD_SPACE, SIMPLE, TOKENIZER, encoder
 from estatelens.llm.common import settle, shared_path, slices
 
 END_ID = 2
@@ -169,19 +169,24 @@ def library(path: str):
 
 
 class Pieces:
-    """Ids of texts as bytes.  No token reaches over white space, so each piece between is encoded by the library once and remembered."""
+    """Ids of texts as bytes.  No token reaches over white space, so each piece between is encoded once and remembered: simple ones, letters and
+    signs of Latin-1, by ``bpe.Encoder``, which gives what the library gives, all others by the library itself."""
 
     def __init__(self, path: str, width: int, remembered: int = REMEMBERED):
-        self.library, self.kind, self.remembered = library(path), f"<u{width}", remembered
+        self.library, self.own, self.kind, self.remembered = library(path), encoder(path), f"<u{width}", remembered
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [GAPS.split(x) if ODD_SPACE.search(x) else x.split() for x in texts]
         if len(self.known) >= self.remembered:
             self.known.clear()
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for piece, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        known, other = self.known, []
+        for piece in {p for pieces in cut for p in pieces if p not in known}:
+            if SIMPLE.fullmatch(piece):
+                known[piece] = np.array(self.own.piece(piece), self.kind).tobytes()
+            else:
+                other.append(piece)
+        for piece, made in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
             known[piece] = np.array(made.ids, self.kind).tobytes()
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
