@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +27,9 @@ DEPTH = 4
 #: Labelled documents a language that the trees are learned from, those of smallest hashed id.
 LEARN_DOCS = 1_500
 #: Numbers in the frozen tables (contexts x bytes x languages): the most frequent contexts are kept.  Bounds what tasks receive.
-MAX_CELLS = 8_000_000
+MAX_CELLS = 6_000_000
+#: Contexts whose costs are worked out together.
+CONTEXTS = 2_048
 UNKNOWN = "und"
 
 
@@ -63,36 +64,45 @@ def learn(labelled: DataFrame, depth: int = DEPTH, docs: int = LEARN_DOCS, max_c
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(packed), pa.array(n)], ["lang", "gram", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    return freeze(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas(), depth, max_cells)
+    return freeze(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow(), depth, max_cells)
 
 
-def freeze(counts: pd.DataFrame, depth: int, max_cells: int) -> LanguageModel:
-    """The code length tables of counts ``(lang, gram, n)``."""
-    names = sorted(counts["lang"].unique())
-    if not names:
+def freeze(counts: pa.Table, depth: int, max_cells: int) -> LanguageModel:
+    """The code length tables of counts ``(lang, gram, n)``, a block of contexts at a time."""
+    if not counts.num_rows:
         return LanguageModel([], None)
-    lang = np.searchsorted(names, counts["lang"].to_numpy().astype(str)) if len(names) > 1 else np.zeros(len(counts), int)
-    gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    coded = counts.column("lang").combine_chunks().dictionary_encode()
+    names = sorted(coded.dictionary.to_pylist())
+    lang = np.array([names.index(x) for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+    gram, n = counts.column("gram").to_numpy(), counts.column("n").to_numpy()
     symbols = [int(s) for s in np.unique(gram & 255) if s]
     width = len(symbols) + 1
     kept = _kept_contexts(gram, n, depth, max_cells // (width * len(names)))
     place = np.zeros(256, np.int64)
     place[symbols] = np.arange(1, width)
     costs: list[np.ndarray] = []
-    chances = np.full((1, width, len(names)), 1 / 256)
     for k, contexts in enumerate(kept):
-        above = chances if k == 0 else chances[np.searchsorted(kept[k - 1], contexts & ((1 << 8 * (k - 1)) - 1))]
         context = (gram >> 8) & ((1 << 8 * k) - 1)
-        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1) if len(contexts) else np.zeros(len(gram), int)
-        use = (contexts[at] == context) if len(contexts) else np.zeros(len(gram), bool)
-        seen = np.zeros((len(contexts), width, len(names)))
-        np.add.at(seen, (at[use], place[gram[use] & 255], lang[use]), n[use])
-        seen[:, 0] = 0
-        total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-        ruled_out = np.where(seen > 0, above, 0).sum(axis=1, keepdims=True)
-        escape = kinds / np.maximum(total + kinds, 1) / np.maximum(1 - ruled_out, 1e-9)
-        chances = np.where(total == 0, above, np.where(seen > 0, seen / np.maximum(total + kinds, 1), escape * above))
-        costs.append(-np.log2(chances))
+        at = np.minimum(np.searchsorted(contexts, context), max(len(contexts) - 1, 0))
+        use = np.flatnonzero(contexts[at] == context) if len(contexts) else np.zeros(0, np.int64)
+        use = use[np.argsort(at[use], kind="stable")]
+        made = np.zeros((len(contexts), width, len(names)), np.float32)
+        for first in range(0, len(contexts), CONTEXTS):
+            block = contexts[first : first + CONTEXTS]
+            if k == 0:
+                above = np.full((1, width, len(names)), 1 / 256)
+            else:
+                above = np.exp2(-costs[k - 1][np.searchsorted(kept[k - 1], block & ((1 << 8 * (k - 1)) - 1))].astype(np.float64))
+            own = use[slice(*np.searchsorted(at[use], [first, first + len(block)]))]
+            seen = np.zeros((len(block), width, len(names)))
+            np.add.at(seen, (at[own] - first, place[gram[own] & 255], lang[own]), n[own])
+            seen[:, 0] = 0
+            total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
+            ruled_out = np.where(seen > 0, above, 0).sum(axis=1, keepdims=True)
+            escape = kinds / np.maximum(total + kinds, 1) / np.maximum(1 - ruled_out, 1e-9)
+            chances = np.where(total == 0, above, np.where(seen > 0, seen / np.maximum(total + kinds, 1), escape * above))
+            made[first : first + len(block)] = -np.log2(chances)
+        costs.append(made)
     return LanguageModel(names, ContextTable.of(symbols, kept, costs))
 
 

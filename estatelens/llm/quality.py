@@ -103,29 +103,30 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 def as_table(model: Model, order: int = ORDER) -> ContextTable | None:
     """The model as one table for tasks; None if nothing was trained."""
-    probs, backoffs = model.probs.toPandas(), model.backoffs.toPandas()
-    if not len(probs):
+    probs, backoffs = ({n: t.column(n).to_numpy() for n in t.column_names} for t in (model.probs.toArrow(), model.backoffs.toArrow()))
+    if not len(probs["gram"]):
         return None
-    symbols = [int(s) for s in np.unique(probs["gram"].to_numpy() & 255) if s]
+    symbols = [int(s) for s in np.unique(probs["gram"] & 255) if s]
     place = np.zeros(256, np.int64)
     place[symbols] = np.arange(1, len(symbols) + 1)
     contexts, costs = [], []
     for k in range(order):
-        back = backoffs[backoffs["order"] == k + 1].sort_values("context")
-        context = back["context"].to_numpy(np.int64)
+        back = np.flatnonzero(backoffs["order"] == k + 1)
+        back = back[np.argsort(backoffs["context"][back])]
+        context = backoffs["context"][back]
         inside = np.ones(len(context), bool)
         for b in range(k):
             inside &= ((context >> (8 * b)) & 255) != 0
-        context, gamma = context[inside], back["bits"].to_numpy()[inside, None]
-        above = np.full((len(context), len(symbols) + 1), 8.0) if k == 0 else costs[k - 1][np.searchsorted(contexts[k - 1], context & ((1 << 8 * (k - 1)) - 1)), :, 0]
+        context, gamma = context[inside], backoffs["bits"][back[inside], None].astype(np.float32)
+        above = np.full((len(context), len(symbols) + 1), 8, np.float32) if k == 0 else costs[k - 1][np.searchsorted(contexts[k - 1], context & ((1 << 8 * (k - 1)) - 1)), :, 0]
         bits = gamma + above
-        own = probs[probs["order"] == k + 1]
-        gram, value = own["gram"].to_numpy(np.int64), own["bits"].to_numpy()
+        own = probs["order"] == k + 1
+        gram, value = probs["gram"][own], probs["bits"][own]
         at = np.minimum(np.searchsorted(context, gram >> 8), len(context) - 1)
         use = (context[at] == gram >> 8) & ((gram & 255) != 0)
         bits[at[use], place[gram[use] & 255]] = value[use]
         contexts.append(context)
-        costs.append(bits[:, :, None].astype(np.float32))
+        costs.append(bits[:, :, None])
     return ContextTable.of(symbols, contexts, costs)
 
 
