@@ -1,7 +1,8 @@
 """Functions over ETL bodies (``let ... in`` expressions): source inference and step classification.
 
 Everything is a column expression: one balanced-group regex splits a body into its top-level statements, so commas in
-strings, brackets and lambdas never cut a step, and no Python runs per row.
+strings, brackets and lambdas never cut a step, and no Python runs per row.  A regex nests to a fixed depth; bodies beyond it are split by a scan
+over their tokens with a running depth, with the same result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ for _ in range(4):
     _LET_BODY = rf"(?:{_LET_ITEMS}|let\b{_LET_BODY}in\b)*+"
 LET_BLOCK = rf"^{_BEFORE_LET}let\b({_LET_BODY})in\b"
 STATEMENT = rf'(?:{P.CLOSED_STRING}|{GROUP}|[^,"()\[\]{{}}]++)++'
+TOKEN = rf'{P.CLOSED_STRING}|{_WORD}|[()\[\]{{}},"]|[^A-Za-z_,"()\[\]{{}}]++'
 COMMENTS_KEEP_STRINGS = rf"({P.CLOSED_STRING})|{P.BLOCK_COMMENT}|{P.LINE_COMMENT}"
 
 NATIVE_CALL = (
@@ -139,6 +141,7 @@ def statements(body: Column) -> Column:
     """Top-level statements of the outer ``let`` block as array<struct<name, text>>, comments dropped."""
     clean = F.regexp_replace(body, COMMENTS_KEEP_STRINGS, "$1")
     block = F.regexp_extract(clean, LET_BLOCK, 1)
+    pieces = F.when(block != "", F.regexp_extract_all(block, F.lit(STATEMENT), F.lit(0))).otherwise(_scanned(clean))
 
     def named(statement: Column) -> Column:
         raw = trimmed(F.substring_index(statement, "=", 1))
@@ -147,10 +150,35 @@ def statements(body: Column) -> Column:
         text = trimmed(F.substring(statement, F.instr(statement, "=") + 1, F.length(statement)))
         return F.struct(name.alias("name"), text.alias("text"))
 
-    found = F.filter(F.regexp_extract_all(block, F.lit(STATEMENT), F.lit(0)), lambda s: s.contains("="))
+    found = F.filter(pieces, lambda s: s.contains("="))
     return F.filter(F.transform(found, named), lambda s: (s["name"] != "") & (s["text"] != ""))
 
 
+def _scanned(clean: Column) -> Column:
+    """Pieces between the top-level commas of the outer ``let`` block, at any depth of brackets and of ``let`` in ``let``; none if it isn't closed."""
+    none = F.array().cast("array<string>")
+
+    def state(phase: Column, depth: Column, lets: Column, piece: Column, pieces: Column) -> Column:
+        return F.struct(phase.alias("phase"), depth.alias("depth"), lets.alias("lets"), piece.alias("piece"), pieces.alias("pieces"))
+
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
+        top, inside = depth == 0, s["phase"] == 1
+        ends = inside & top & (token == "in") & (s["lets"] == 0)
+        cuts = ends | (inside & top & (token == ","))
+        phase = (
+            F.when(s["phase"] > 1, s["phase"]).when((depth < 0) | (token == '"'), 3)
+            .when((s["phase"] == 0) & top & (token == "let"), 1).when(ends, 2).otherwise(s["phase"])
+        )
+        lets = s["lets"] + F.when(inside & top & (token == "let"), 1).when(inside & top & (token == "in"), -1).otherwise(0)
+        piece = F.when(cuts | ~inside, "").otherwise(F.concat(s["piece"], token))
+        return state(phase, depth, lets, piece, F.when(cuts, F.concat(s["pieces"], F.array(s["piece"]))).otherwise(s["pieces"]))
+
+    start = state(F.lit(0), F.lit(0), F.lit(0), F.lit(""), none)
+    done = F.aggregate(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), start, step, lambda s: F.when(s["phase"] == 2, s["pieces"]).otherwise(none))
+    return F.when(clean.rlike(r"(?s)let\b.*in\b"), done).otherwise(none)
+
+
 def step_kind(text: Column) -> Column:
     chain = (
         F.when(text.rlike(P.STEP_NAVIGATION), "navigation")

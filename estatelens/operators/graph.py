@@ -24,7 +24,7 @@ def _settle(df: DataFrame) -> tuple[DataFrame, int, int]:
     return out, seen.get["n"], seen.get["b"]
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes ``(model_id, node)`` reachable from ``seeds (model_id, node)``, seeds included, along ``src -> dst``.
 
     One round follows HOPS edges and settles the nodes it met for the first time, so a graph of depth d costs about
@@ -35,11 +35,11 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> Data
     seen, rounds = frontier, 0
     while n:
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-        met = broadcast_if_small(frontier, size)
-        for _ in range(HOPS):
-            met = _follow(edges, met)
+        met = step = frontier
+        for hop in range(HOPS):
+            step = _follow(edges, broadcast_if_small(step, size) if hop == 0 else step)
+            met = met.unionByName(step)
+        met = met.distinct()
         frontier, n, size = _settle(met.join(seen, ["model_id", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
         if rounds % COMPACT_EVERY == 0:
@@ -48,10 +48,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> Data
 
 
 def _follow(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``nodes`` and the nodes one edge further; the join keeps the nodes, so the plan stays a chain."""
-    step = nodes.withColumnRenamed("node", "src").join(edges, ["model_id", "src"], "left")
-    both = step.select("model_id", F.explode(F.array("src", "dst")).alias("node"))
-    return both.where(F.col("node").isNotNull()).distinct()
+    """The nodes one edge further.  An inner join, so that a small frontier can be the broadcast side and the edges stay where they lie."""
+    return edges.join(nodes.withColumnRenamed("node", "src"), ["model_id", "src"]).select("model_id", F.col("dst").alias("node")).distinct()
 
 
 def peel(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -83,9 +81,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     while n:
         colour = _largest_ancestor(core)
         inside = _within_colour(core, colour)
-        roots = colour.where(F.col("node") == F.col("colour")).select("model_id", "node")
+        roots = colour.where(F.col("node") == F.col("colour"))
         back = inside.select("model_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        members = reach(back, roots).join(colour, ["model_id", "node"])
+        # A root is the largest name of its colour, so it is the largest ancestor, edges turned round, of just those that lead back to it.
+        leading = _largest_ancestor(back).withColumnRenamed("colour", "_back").join(colour, ["model_id", "node"]).where(F.col("_back") == F.col("colour"))
+        members = leading.select("model_id", "node", "colour").unionByName(roots).distinct()
         # A root alone is no cycle: self references are not edges.
         sized = members.groupBy("model_id", "colour").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("component"))
         group = members.join(sized.where(F.col("_n") > 1), ["model_id", "colour"]).select("model_id", "component", "node")
@@ -107,20 +107,26 @@ def _within_colour(core: DataFrame, colour: DataFrame) -> DataFrame:
 
 
 def _largest_ancestor(core: DataFrame) -> DataFrame:
+    """``(model_id, node, colour)``: the largest name that leads to each node, its own included.
+
+    Besides its predecessors' colours a node takes that of one ancestor, whose distance doubles each round, so a ring of n takes about log n rounds.
+    """
     nodes = core.select("model_id", F.col("src").alias("node")).union(core.select("model_id", "dst")).distinct()
-    colour, _, _ = _settle(nodes.withColumn("colour", F.col("node")))
+    before = core.groupBy("model_id", F.col("dst").alias("node")).agg(F.max("src").alias("jump"))
+    state, _, _ = _settle(nodes.join(before, ["model_id", "node"], "left").select("model_id", "node", F.col("node").alias("colour"), "jump"))
     while True:
-        pushed = core.join(colour.withColumnRenamed("node", "src"), ["model_id", "src"]).groupBy(
+        pushed = core.join(state.select("model_id", F.col("node").alias("src"), "colour"), ["model_id", "src"]).groupBy(
             "model_id", F.col("dst").alias("node")
         ).agg(F.max("colour").alias("_in"))
-        moved = colour.join(pushed, ["model_id", "node"], "left").select(
-            "model_id", "node", F.greatest("colour", "_in").alias("colour"), (F.col("_in") > F.col("colour")).alias("_moved")
-        )
+        far = state.select("model_id", F.col("node").alias("jump"), F.col("colour").alias("_far"), F.col("jump").alias("_next"))
+        met = state.join(pushed, ["model_id", "node"], "left").join(far, ["model_id", "jump"], "left")
+        best = F.greatest("colour", "_in", "_far")
         seen = Observation()
+        moved = met.select("model_id", "node", best.alias("colour"), F.col("_next").alias("jump"), (best > F.col("colour")).alias("_moved"))
         settled = checkpoint(moved.observe(seen, F.count_if("_moved").alias("n")))
-        colour = settled.drop("_moved")
+        state = settled.drop("_moved")
         if seen.get["n"] == 0:
-            return colour
+            return state.select("model_id", "node", "colour")
 
 
 def dead_chains(edges: DataFrame, statuses: DataFrame) -> DataFrame:

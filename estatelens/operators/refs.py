@@ -153,10 +153,14 @@ def without_about(functions: DataFrame) -> DataFrame:
 
 
 def function_uses(functions: DataFrame, measures: DataFrame) -> DataFrame:
-    """``(model_id, function, table_name, measure)``: the body calls ``name(`` or quotes ``'name'``; case matters."""
+    """``(model_id, function, table_name, measure)``: the body calls ``name(`` or quotes ``'name'``; case matters.
+
+    Whatever stands between two quotes counts, so an apostrophe in a comment hides no name behind it.
+    """
     body = F.col("body")
     calls = F.regexp_extract_all(body, F.lit(r"([A-Za-z_][\w.]*)\("), F.lit(1))
-    quoted = F.regexp_extract_all(body, F.lit("'([^']+)'"), F.lit(1))
+    pieces = F.split(body, "'", -1)
+    quoted = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
     tokens = measures.select(
         "model_id", "table_name", F.col("name").alias("measure"), F.explode(F.array_distinct(F.concat(calls, quoted))).alias("function")
     )

@@ -18,14 +18,14 @@ def field_kind() -> Column:
 def deduped_bindings(bindings: DataFrame) -> DataFrame:
     """One binding per (field, page, visual): the first non-filter role, else the first binding.
 
-    An ordered minimum rather than a window, so rows combine before the shuffle and a hot field never fills one task.
+    The order is one number, filter roles last, then by sequence: its minimum is a hash aggregate, so rows combine before the shuffle and a hot
+    field never fills one task.  The binding itself then joins by it.
     """
-    order = F.struct((F.col("role") == "Filter").alias("is_filter"), F.col("seq"))
-    picked = F.min_by(F.struct("seq", "role", "field_type", "visual_type", "title"), order)
-    keys = ["model_id", field_kind().alias("kind"), "table_name", "field_name", "page_id", "visual_id"]
-    return bindings.groupBy(*keys).agg(picked.alias("_b")).select(
-        "model_id", "kind", "table_name", "field_name", "page_id", "visual_id", "_b.*"
-    )
+    keys = ["model_id", "kind", "table_name", "field_name", "page_id", "visual_id"]
+    order = (F.col("role") == "Filter").cast("long") * F.lit(1 << 62) + F.col("seq")
+    keyed = bindings.withColumn("kind", field_kind()).withColumn("_order", F.coalesce(order, F.col("seq")))
+    first = keyed.groupBy(*keys).agg(F.min("_order").alias("_order"))
+    return keyed.join(first, [*keys, "_order"]).select(*keys, "seq", "role", "field_type", "visual_type", "title")
 
 
 def with_page_names(bindings: DataFrame, pages: DataFrame) -> DataFrame:

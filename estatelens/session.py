@@ -43,7 +43,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="estatelens-checkpoint-")
     sc.setCheckpointDir(folder)
@@ -69,12 +69,6 @@ def row_bytes(df: DataFrame) -> Column:
     return total.cast("long")
 
 
-def measured(df: DataFrame) -> tuple[int, int]:
-    """(rows, estimated bytes) of an already materialized frame, in one aggregate."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
-    return row["n"], row["b"]
-
-
 def broadcast_if_small(df: DataFrame, size_bytes: int) -> DataFrame:
     """Hint a broadcast when the measured size allows it; otherwise leave the join to AQE's shuffle plan."""
     return F.broadcast(df) if size_bytes <= BROADCAST_BYTES else df

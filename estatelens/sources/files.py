@@ -5,12 +5,20 @@ A workspace is what a user would load at once; names are only compared inside it
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estatelens.session import checkpoint
+
 # What is read and what is skipped
 EXTENSIONS = ["tmdl", "json", "bim", "pbir"]
-SKIPPED_FOLDERS = r"/(?:\.pbi|\.git|node_modules|\.vs[^/]*)/"
+SKIPPED_FOLDERS = r"\.pbi|\.git|node_modules|\.vs.*"
 REPORT_ROOT = r"(?i)^(.*?/[^/]*\.Report)/"
 REPORT_SUFFIX, MODEL_SUFFIX = r"(?i)\.Report$", r"(?i)\.SemanticModel$"
 PLACES = {  # kind of a project file by its path
@@ -30,22 +38,78 @@ PLACES = {  # kind of a project file by its path
 POINTER_PATH = r'"path"\s*:\s*("(?:[^"\\]++|\\.)*+")'
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or plain path, and the path in it."""
+    if uri.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri)) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder: folders to go into and files to read, or an error in place of a listing."""
+    for batch in batches:
+        for uri in batch.column("uri").to_pylist():
+            system, folder = _opened(uri)
+            prefix = uri[: len(uri) - len(folder)] if uri.endswith(folder) else ""
+            found, error = [], None
+            try:
+                for item in system.get_file_info(fs.FileSelector(folder)):
+                    if item.type == fs.FileType.Directory and not re.fullmatch(SKIPPED_FOLDERS, item.base_name):
+                        found.append((prefix + item.path, True, None))
+                    elif item.type == fs.FileType.File and item.base_name.lower().endswith(tuple("." + e for e in EXTENSIONS)):
+                        found.append((prefix + item.path, False, None))
+            except OSError as problem:
+                error = str(problem)
+            if error is not None:
+                found = [(uri, False, error)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))], ["uri", "folder", "error"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each file, or the error that kept it from being read."""
+    for batch in batches:
+        for uri, error in zip(batch.column("uri").to_pylist(), batch.column("error").to_pylist(), strict=True):
+            text = None
+            if error is None:
+                try:
+                    system, place = _opened(uri)
+                    with system.open_input_stream(place) as f:
+                        text = f.read().decode("utf-8", "replace").removeprefix("\ufeff")
+                except OSError as problem:
+                    error = str(problem)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (uri, text, error)], ["path", "content", "error"])
+
+
+def walk_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace, path, content, error)``: every project file below ``root``, whatever its name, and one row with an error for each file or
+    folder that can't be read.
+
+    Tasks list the folders, one level of the tree a round, and open the files; the driver sees neither.  The workspace is the first folder.
+    """
+    level = spark.createDataFrame([(root.rstrip("/"),)], "uri string")
+    rounds = []
+    while not level.isEmpty():
+        spread = level.repartition(spark.sparkContext.defaultParallelism, "uri")
+        found = checkpoint(spread.mapInArrow(_entries, "uri string, folder boolean, error string"))
+        rounds.append(found.where(~F.col("folder")))
+        level = found.where("folder").select("uri")
+    listed = reduce(DataFrame.unionByName, rounds)
+    # Dealt by name, so that one large folder is read by many tasks.
+    read = listed.select("uri", "error").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uri").mapInArrow(_contents, "path string, content string, error string")
+    base = F.lit(root.rstrip("/") + "/")
+    below = F.when(F.startswith("path", base), F.substring(F.col("path"), F.length(base) + 1, F.length("path")))
+    plain = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
+    return read.select(F.substring_index(F.coalesce(below, "path"), "/", 1).alias("workspace"), plain.alias("path"), "content", "error")
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Every project file below ``root``, one row each; unreadable files are skipped, not fatal.
+    """Every readable project file below ``root``, one row each; ``unreadable`` tells of the others."""
+    return walk_corpus(spark, root).where(F.col("error").isNull()).drop("error")
 
-    The extension filter runs while listing, so other files are never opened; Spark leaves out empty files and hidden
-    folders.  The workspace is the first folder.
-    """
-    any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in EXTENSIONS)
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{any_case}}}")
-        .option("ignoreCorruptFiles", True).load(root)
-    )
-    path = F.url_decode(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"))
-    files = found.select(path.alias("path"), F.col("content").cast("string").alias("content")).where(~F.col("path").rlike(SKIPPED_FOLDERS))
-    base = F.lit("/" + root.split("://")[-1].strip("/") + "/")
-    below = F.when(F.instr("path", base) > 0, F.substring(F.col("path"), F.instr("path", base) + F.length(base), F.length("path")))
-    return files.select(F.substring_index(F.coalesce(below, "path"), "/", 1).alias("workspace"), "path", "content")
+
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """``(workspace, path, error)``: files and folders below ``root`` that could not be read."""
+    return walk_corpus(spark, root).where(F.col("error").isNotNull()).select("workspace", "path", "error")
 
 
 def place(path: Column) -> Column:

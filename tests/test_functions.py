@@ -116,6 +116,22 @@ def test_steps(each):
     assert [[tuple(s) for s in found] for found in each(steps, *STEPS)] == list(STEPS.values())
 
 
+def test_steps_at_any_depth(each):
+    deep = "let A = " + "(" * 100 + '"x, y"' + ")" * 100 + ", B = [a = {1, 2}] in B"
+    nested = "let A = " + "let x = 1, y = 2 in " * 10 + "x, B = 2 in B"
+    flat = 'let A = let x = 1, y = 2 in x, B = "in, let" in B'
+    names = F.transform(etl.statements(col("t")), lambda s: s["name"])
+    found = each(names, deep, nested, flat, "let A = (1, B = 2", "let A = " + "(" * 30 + ", B = 2 in A", "x in y")
+    assert found == [["A", "B"], ["A", "y", *(["y"] * 9), "B"], ["A", "y", "B"], [], [], []]
+
+
+def test_scan_and_pattern_agree(each):
+    scanned = F.filter(etl._scanned(F.regexp_replace(col("t"), etl.COMMENTS_KEEP_STRINGS, "$1")), lambda s: s.contains("="))
+    block = F.regexp_extract(F.regexp_replace(col("t"), etl.COMMENTS_KEEP_STRINGS, "$1"), etl.LET_BLOCK, 1)
+    matched = F.filter(F.regexp_extract_all(block, F.lit(etl.STATEMENT), F.lit(0)), lambda s: s.contains("="))
+    assert each(scanned, *STEPS) == each(matched, *STEPS)
+
+
 def test_source_types(each):
     bodies = ['X = SQL.DATABASE("a")', 'Binary.FromText("x")', "binary.fromtext(", "Databricks.Catalogs()", 'Table.FromRows(Json.Document("x"))', "let a = 1 in a"]
     assert each(etl.source_type(col("t"), F.lower("t")), *bodies) == ["SQL Server", "Inline (encoded)", "Unknown / M", "Databricks", "Inline data", "Unknown / M"]

@@ -120,6 +120,29 @@ def test_long_chain(spark):
     assert graph.reach(chain, seed).count() == 46 and graph.cycles(chain).count() == 0
 
 
+def test_long_ring_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    settle = graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: rounds.append(1) or settle(df))
+    ring = edges_of(spark, [(f"c{i:04d}", f"c{(i + 1) % 200:04d}") for i in range(200)])
+    found = graph.cycles(ring)
+    assert found.count() == 200 and found.select("component").distinct().count() == 1
+    assert len(rounds) < 40
+
+
+def test_small_frontier_is_broadcast(spark):
+    chain = edges_of(spark, [(f"c{i}", f"c{i + 1}") for i in range(45)])
+    seed = spark.createDataFrame([("m", "c0")], "model_id string, node string")
+    plan = graph._follow(chain, graph.broadcast_if_small(seed, 10))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_apostrophe_hides_no_function(spark, rows):
+    functions = spark.createDataFrame([("m", "Helper"), ("m", "Calc")], "model_id string, name string")
+    measures = spark.createDataFrame([("m", "T", "A", "// don't touch 'Helper'\nCalc(1)"), ("m", "T", "B", "'Helper"), ("m", "T", "C", "")], "model_id string, table_name string, name string, body string")
+    assert rows(refs.function_uses(functions, measures), "function", "measure") == [("Calc", "A"), ("Helper", "A")]
+
+
 def test_numbering_against_brute_force(spark):
     rng = random.Random(7)
     given = [("m", "hot" if rng.random() < 0.5 else f"g{rng.randrange(5)}", f"v{i:04d}") for i in range(900)]

@@ -295,3 +295,21 @@ def test_walk_and_whole_estate(spark, rows, tmp_path):
     status = usage.measure_status(estate)
     assert rows(status, "table_name", "name", "status") == [("T", "Colour", "direct"), ("T", "M", "direct"), ("T", "M", "unused"), ("T", "N", "unused")]
     assert rows(usage.column_status(estate, status).where("model_id like '%Main.Report'"), "name", "status") == [("a", "direct"), ("c", "direct"), ("f", "direct")]
+
+
+def test_walk_reads_every_name(spark, rows, tmp_path):
+    names = ["A+B.SemanticModel/definition/tables/_Measures.tmdl", "A+B.SemanticModel/definition/tables/Margin %.tmdl", "A+B.SemanticModel/_x/a b.json", "A B.SemanticModel/model.bim", "A+B.Report/definition.pbir", "é%20ü/empty.json"]
+    for n, name in enumerate(names):
+        target = tmp_path / "ws" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("" if name.endswith("empty.json") else f"text {n}")
+    for skipped in (".vscode/a.json", ".git/b.json", "picture.png"):
+        (tmp_path / "ws" / skipped).parent.mkdir(exist_ok=True)
+        (tmp_path / "ws" / skipped).write_text("{}")
+    (tmp_path / "ws" / "gone.json").symlink_to(tmp_path / "nowhere.json")
+    found = files.read_corpus(spark, str(tmp_path))
+    assert rows(found, "path") == sorted(((f"{tmp_path}/ws/{n}",) for n in names), key=str)
+    assert rows(found.where("path like '%empty.json'"), "content") == [("",)]
+    assert {r.workspace for r in found.collect()} == {"ws"}
+    assert rows(files.pairs_by_name(found), "report", "model") == [(f"{tmp_path}/ws/A+B.Report", f"{tmp_path}/ws/A+B.SemanticModel")]
+    assert files.unreadable(spark, str(tmp_path / "missing")).count() == 1
