@@ -9,8 +9,9 @@ from estatelens.estate import Estate
 from estatelens.functions import etl, text
 from estatelens.functions import patterns as P
 from estatelens.operators import roles
-from estatelens.operators.pages import known_bindings
 from estatelens.operators.numbering import first_per_group, preview
+from estatelens.operators.pages import known_fields
+from estatelens.operators.usage import field_kind
 
 KEYS = ["model_id", "table_name", "part_no"]
 
@@ -66,8 +67,13 @@ def regular_tables(summary: DataFrame) -> DataFrame:
 
 
 def table_bindings(estate: Estate) -> DataFrame:
-    """Distinct (table, page, visual) over the bindings of each table's known columns and measures."""
-    return known_bindings(estate).select("model_id", "table_name", "page_id", "visual_id").distinct()
+    """Distinct (table, page, visual) over the bindings of each table's known columns and measures.
+
+    Bindings shrink to their distinct keys before anything is joined or picked among them.
+    """
+    keys = estate.bindings.select("model_id", field_kind().alias("kind"), "table_name", "field_name", "page_id", "visual_id").distinct()
+    known = keys.join(known_fields(estate), ["model_id", "kind", "table_name", "field_name"], "left_semi")
+    return known.select("model_id", "table_name", "page_id", "visual_id").distinct()
 
 
 def source_tables(sources: DataFrame) -> DataFrame:

@@ -21,14 +21,16 @@ def visual_category(visual_type: Column) -> Column:
     return chain
 
 
+def known_fields(estate: Estate) -> DataFrame:
+    """``(model_id, kind, table_name, field_name)`` of every measure and column."""
+    return estate.measures.select("model_id", F.lit("measure").alias("kind"), "table_name", F.col("name").alias("field_name")).union(
+        estate.columns.select("model_id", F.lit("column"), "table_name", "name")
+    )
+
+
 def known_bindings(estate: Estate) -> DataFrame:
     """Deduplicated bindings of fields the model has."""
-    bound = usage.deduped_bindings(estate.bindings)
-    fields = (
-        estate.measures.select("model_id", F.lit("measure").alias("kind"), "table_name", F.col("name").alias("field_name"))
-        .union(estate.columns.select("model_id", F.lit("column"), "table_name", "name"))
-    )
-    return bound.join(fields, ["model_id", "kind", "table_name", "field_name"], "left_semi")
+    return usage.deduped_bindings(estate.bindings).join(known_fields(estate), ["model_id", "kind", "table_name", "field_name"], "left_semi")
 
 
 def bound_visuals(bindings: DataFrame, mode: str = "strict") -> DataFrame:

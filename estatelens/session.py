@@ -24,7 +24,8 @@ def session(app: str = "estatelens", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **conf}.items():
+    # Checkpoints go once nothing refers to them.
+    for key, value in {**SQL_SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
