@@ -62,6 +62,76 @@ class ContextTable:
         return sums
 
 
+class GramTable:
+    """The same sums from n-grams that were seen: nothing is stored for a context's other bytes but one escape, so the table grows with what was learned.
+
+    ``seen[k]``: sorted n-grams of k + 1 bytes, none of them 0, and ``costs[k]`` (n-gram, model); ``contexts[k]``: sorted contexts of k bytes and
+    ``escapes[k]`` (context, model), what a byte not seen in it costs besides its cost one order lower; below the empty context it costs ``base``.
+    """
+
+    def __init__(self, seen: list[np.ndarray], costs: list[np.ndarray], contexts: list[np.ndarray], escapes: list[np.ndarray], base: float = 8.0):
+        self.seen, self.costs, self.contexts, self.escapes, self.base = seen, costs, contexts, escapes, base
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for part in (self.seen, self.costs, self.contexts, self.escapes) for a in part)
+
+    def of_grams(self, packed: np.ndarray) -> np.ndarray:
+        """(n-gram, model): the cost of the latest byte of each packed n-gram of the longest order."""
+        found = np.zeros((len(packed), self.costs[0].shape[1]))
+        left = np.arange(len(packed))
+        for k in range(len(self.seen) - 1, -1, -1):
+            own = packed[left] & ((1 << 8 * (k + 1)) - 1)
+            hit, at = _places(self.seen[k], own)
+            found[left[hit]] += self.costs[k][at[hit]]
+            left, own = left[~hit], own[~hit]
+            known, at = _places(self.contexts[k], own >> 8)
+            found[left[known]] += self.escapes[k][at[known]]
+        found[left] += self.base
+        return found
+
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """(text, model): sums of costs over every byte of each text."""
+        depth = len(self.seen) - 1
+        sums = np.zeros((len(texts), self.costs[0].shape[1]))
+        raw = np.frombuffer(b"\0" + b"\0".join(texts), np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
+        for a in range(0, len(raw), BLOCK):
+            b = min(a + BLOCK, len(raw))
+            line = np.zeros(b - a + depth, np.int64)
+            before = min(a, depth)
+            line[depth - before :] = raw[a - before : b]
+            packed = np.zeros(b - a, np.int64)
+            for k in range(depth + 1):
+                packed |= line[depth - k : depth - k + b - a] << (8 * k)
+            # A text's first bytes have no context: what stands before the separator goes.
+            for k in range(1, depth + 1):
+                packed &= np.where((packed >> (8 * k)) & 255, -1, (1 << 8 * k) - 1)
+            kinds, place = np.unique(packed, return_inverse=True)
+            costs = self.of_grams(kinds)[place]
+            one, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
+            own = starts[one:last] - a
+            costs[own[own >= 0]] = 0
+            sums[one:last] += np.add.reduceat(costs, np.maximum(own, 0), axis=0)
+        return sums
+
+
+def _places(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``asked`` are in sorted ``keys``, and where."""
+    if not len(keys):
+        return np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, at
+
+
+def whole(packed: np.ndarray, size: int) -> np.ndarray:
+    """Whether none of the latest ``size`` bytes is 0."""
+    inside = np.ones(len(packed), bool)
+    for b in range(size):
+        inside &= ((packed >> (8 * b)) & 255) != 0
+    return inside
+
+
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the ``depth`` bytes before it (0 before a text's start), packed with the latest lowest, and how often."""
     if not texts:

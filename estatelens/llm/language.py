@@ -1,6 +1,7 @@
 """Language identification by prediction by partial matching.
 
-Each language has a variable-order tree of byte contexts with counts from a bounded sample of labelled texts; the statistics are then frozen.  A
+Each language has a variable-order tree of byte contexts with counts from a bounded sample of labelled texts; the statistics are then frozen, every
+context that was learned among them.  A
 byte's code length in a context is that of its share of the counts, or of an escape (distinct bytes seen, as method C) followed by its
 code in the next shorter context, bytes already ruled out being excluded; below the empty context all 256 bytes are equal.  A text's
 language is the one with the smallest exact code length over all its bytes.
@@ -20,21 +21,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelens.llm.common import as_bytes, slices
-from estatelens.llm.contexts import ContextTable, grams
+from estatelens.llm.contexts import GramTable, grams, whole
 
 #: Bytes of context at most.
 DEPTH = 4
 #: Labelled documents a language that the trees are learned from, those of smallest hashed id.
 LEARN_DOCS = 1_500
-#: Numbers in the frozen tables (contexts x bytes x languages): the most frequent contexts are kept.  Bounds what tasks receive.
-MAX_CELLS = 6_000_000
-#: Contexts whose costs are worked out together.
-CONTEXTS = 2_048
+#: N-grams whose costs are worked out together; bounds working memory, not what is kept.
+BLOCK_GRAMS = 65_536
 UNKNOWN = "und"
 
 
 class LanguageModel:
-    def __init__(self, names: list[str], table: ContextTable | None):
+    def __init__(self, names: list[str], table: GramTable | None):
         self.names, self.table = names, table
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -45,7 +44,7 @@ class LanguageModel:
         return [self.names[i] for i in best], share, bits.min(axis=1) / np.maximum([len(t) for t in texts], 1)
 
 
-def learn(labelled: DataFrame, depth: int = DEPTH, docs: int = LEARN_DOCS, max_cells: int = MAX_CELLS) -> LanguageModel:
+def learn(labelled: DataFrame, depth: int = DEPTH, docs: int = LEARN_DOCS) -> LanguageModel:
     """Trees of every language of ``labelled (doc_id, text, lang)``.
 
     The sample's ids are chosen first, without texts; their number is bounded by ``docs`` for each language, so joining them back broadcasts little.
@@ -64,63 +63,52 @@ def learn(labelled: DataFrame, depth: int = DEPTH, docs: int = LEARN_DOCS, max_c
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(packed), pa.array(n)], ["lang", "gram", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    return freeze(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow(), depth, max_cells)
+    return freeze(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow(), depth)
 
 
-def freeze(counts: pa.Table, depth: int, max_cells: int) -> LanguageModel:
-    """The code length tables of counts ``(lang, gram, n)``, a block of contexts at a time."""
+def freeze(counts: pa.Table, depth: int, block: int = BLOCK_GRAMS) -> LanguageModel:
+    """The code lengths of counts ``(lang, gram, n)``: of every n-gram that a language has seen, and of the escape from every context.
+
+    Orders are worked out from the shortest up, ``block`` n-grams of an order at a time (never a part of a context's).
+    """
     if not counts.num_rows:
         return LanguageModel([], None)
     coded = counts.column("lang").combine_chunks().dictionary_encode()
     names = sorted(coded.dictionary.to_pylist())
     lang = np.array([names.index(x) for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
     gram, n = counts.column("gram").to_numpy(), counts.column("n").to_numpy()
-    symbols = [int(s) for s in np.unique(gram & 255) if s]
-    width = len(symbols) + 1
-    kept = _kept_contexts(gram, n, depth, max_cells // (width * len(names)))
-    place = np.zeros(256, np.int64)
-    place[symbols] = np.arange(1, width)
-    costs: list[np.ndarray] = []
-    for k, contexts in enumerate(kept):
-        context = (gram >> 8) & ((1 << 8 * k) - 1)
-        at = np.minimum(np.searchsorted(contexts, context), max(len(contexts) - 1, 0))
-        use = np.flatnonzero(contexts[at] == context) if len(contexts) else np.zeros(0, np.int64)
-        use = use[np.argsort(at[use], kind="stable")]
-        made = np.zeros((len(contexts), width, len(names)), np.float32)
-        for first in range(0, len(contexts), CONTEXTS):
-            block = contexts[first : first + CONTEXTS]
-            if k == 0:
-                above = np.full((1, width, len(names)), 1 / 256)
-            else:
-                above = np.exp2(-costs[k - 1][np.searchsorted(kept[k - 1], block & ((1 << 8 * (k - 1)) - 1))].astype(np.float64))
-            own = use[slice(*np.searchsorted(at[use], [first, first + len(block)]))]
-            seen = np.zeros((len(block), width, len(names)))
-            np.add.at(seen, (at[own] - first, place[gram[own] & 255], lang[own]), n[own])
-            seen[:, 0] = 0
-            total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-            ruled_out = np.where(seen > 0, above, 0).sum(axis=1, keepdims=True)
-            escape = kinds / np.maximum(total + kinds, 1) / np.maximum(1 - ruled_out, 1e-9)
-            chances = np.where(total == 0, above, np.where(seen > 0, seen / np.maximum(total + kinds, 1), escape * above))
-            made[first : first + len(block)] = -np.log2(chances)
-        costs.append(made)
-    return LanguageModel(names, ContextTable.of(symbols, kept, costs))
-
-
-def _kept_contexts(gram: np.ndarray, n: np.ndarray, depth: int, most: int) -> list[np.ndarray]:
-    """By depth, the most frequent contexts, ``most`` in all; a context is never kept without its parent, which is at least as frequent."""
-    found = []
+    seen, costs, contexts, escapes = [], [], [], []
     for k in range(depth + 1):
-        context, at = np.unique((gram >> 8) & ((1 << 8 * k) - 1), return_inverse=True)
-        total = np.bincount(at, n, len(context))
-        inside = np.ones(len(context), bool)
-        for b in range(k):
-            inside &= ((context >> (8 * b)) & 255) != 0
-        found.append((context[inside], total[inside]))
-    all_totals, all_depths = np.concatenate([t for _, t in found]), np.repeat(np.arange(depth + 1), [len(c) for c, _ in found])
-    order = np.lexsort((np.concatenate([c for c, _ in found]), all_depths, -all_totals))[: max(most, 1)]
-    chosen = np.zeros(len(all_totals), bool)
-    chosen[order] = True
-    return [c[chosen[all_depths == k]] for k, (c, _) in enumerate(found)]
+        inside = whole(gram, k + 1)
+        kinds, at = np.unique(gram[inside] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        context, first = np.unique(kinds >> 8, return_index=True)
+        order = np.argsort(at, kind="stable")
+        at, own_lang, own_n = at[order], lang[inside][order], n[inside][order]
+        cost, escape = np.zeros((len(kinds), len(names)), np.float32), np.zeros((len(context), len(names)), np.float32)
+        ends = np.append(first[1:], len(kinds))
+        low = 0
+        while low < len(context):
+            high = max(int(np.searchsorted(ends, first[low] + block, "right")), low + 1)
+            a, b = first[low], ends[high - 1]
+            rows = slice(*np.searchsorted(at, [a, b]))
+            numbers = np.zeros((b - a, len(names)))
+            np.add.at(numbers, (at[rows] - a, own_lang[rows]), own_n[rows])
+            above = np.full((b - a, len(names)), 1 / 256)
+            if k:
+                above = np.exp2(-costs[k - 1][np.searchsorted(seen[k - 1], kinds[a:b] & ((1 << 8 * k) - 1))].astype(np.float64))
+            starts, of = first[low:high] - a, np.searchsorted(first[low:high], np.arange(a, b), "right") - 1
+            total, every = np.add.reduceat(numbers, starts), np.add.reduceat((numbers > 0).astype(float), starts)
+            ruled_out = np.add.reduceat(np.where(numbers > 0, above, 0), starts)
+            out = np.where(total == 0, 1, every / np.maximum(total + every, 1) / np.maximum(1 - ruled_out, 1e-9))
+            share = numbers / np.maximum(total + every, 1)[of]
+            cost[a:b] = -np.log2(np.where(numbers > 0, share, out[of] * above))
+            escape[low:high] = -np.log2(out)
+            low = high
+        seen.append(kinds)
+        costs.append(cost)
+        contexts.append(context)
+        escapes.append(escape)
+    return LanguageModel(names, GramTable(seen, costs, contexts, escapes))
 
 
 def has_letter(text: Column) -> Column:

@@ -55,6 +55,21 @@ def test_code_lengths_are_those_of_ppm():
     assert model.table.totals([asked])[0, 0] == pytest.approx(expected, abs=1e-3)
 
 
+def test_every_learned_context_is_kept_and_scores():
+    """The frozen tables hold each context of each order, however the work is dealt into blocks."""
+    rng = np.random.default_rng(5)
+    taught = {x: bytes(rng.integers(1, 250, 20_000).astype(np.uint8)) for x in ("a", "b", "c")}
+    parts = {x: contexts.grams([t], 4) for x, t in taught.items()}
+    counts = pa.table({"lang": [x for x, p in parts.items() for _ in p[0]], "gram": np.concatenate([p[0] for p in parts.values()]), "n": np.concatenate([p[1] for p in parts.values()])})
+    model = language.freeze(counts, 4)
+    for k in range(5):
+        learned = {t[i - k : i][::-1] for t in taught.values() for i in range(k, len(t))}
+        assert len(model.table.contexts[k]) == len(learned)
+    asked = [taught["b"][100:160], b"", b"xy\0z", taught["a"][:3]]
+    assert np.allclose(model.table.totals(asked), language.freeze(counts, 4, 7).table.totals(asked), atol=1e-3)
+    assert [model.predict([t[5_000:5_040]])[0][0] for t in taught.values()] == ["a", "b", "c"]
+
+
 def test_kneser_ney_sums_to_one_and_joins_agree(spark, small):
     docs = small("documents").where("doc_id < 60")
     model = quality.train(docs)
