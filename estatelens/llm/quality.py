@@ -1,13 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model over bytes, trained on trusted text.
 
-Training counts n-grams of a bounded sample of trusted texts; the rest are joins of count tables, sharded by n-gram: continuation counts of
+Training counts the n-grams of all trusted texts; the rest are joins of count tables, sharded by n-gram: continuation counts of
 each lower order, totals and discounts of each context, and each order's probabilities joined to those of the next lower one.  A document's
 measure is its bits a byte (the logarithm of its perplexity), drawn towards its language's mean by SMOOTH bytes so that short texts
 aren't judged by a few letters.  It is rejected outside the band between two quantiles of its language's trusted documents (all of them),
 widened by SLACK: above lies what no trusted text looks like, below what repeats itself.
 
-A model of up to MAX_SHARED n-grams goes to every task as a table; beyond, ``bits_by_joins`` looks each document's distinct n-grams up in the
-sharded tables instead, with the same results.
+A model of up to MAX_SHARED n-grams goes to every task as a table; beyond, ``bits_by_joins`` looks the corpus's distinct n-grams up in the
+sharded tables and joins them to each row's instead, with the same results.
 
 Defined results: null and empty texts have no bits and are rejected (nothing to learn from); null or rare languages use the quantiles of all
 trusted documents; without trusted documents nothing is rejected but texts without content; repeated rows get equal results; an empty table
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from estatelens.llm.common import as_bytes, settle, slices
-from estatelens.llm.contexts import ContextTable, grams
+from estatelens.llm.contexts import ContextTable, GramTable, grams, whole
 
 #: Bytes an n-gram has.
 ORDER = 5
-#: Trusted documents that the n-grams are counted on, those of smallest hashed id.
-TRAIN_DOCS = 3_000
+#: N-grams of a model that goes to every task, and ids that go to where texts lie; beyond, the same steps are plain joins.
 MAX_SHARED = 4_000_000
+MAX_IDS = 1_000_000
 #: Quantiles of trusted documents' measure between which documents stay, and what they are widened by, in bits a byte.
 LOWEST, HIGHEST, SLACK = 0.002, 0.998, 0.10
 SMOOTH = 800
@@ -102,7 +102,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 
 def as_table(model: Model, order: int = ORDER) -> ContextTable | None:
-    """The model as one table for tasks; None if nothing was trained."""
+    """The model as a dense table of contexts and bytes, to compare with; None if nothing was trained."""
     probs, backoffs = ({n: t.column(n).to_numpy() for n in t.column_names} for t in (model.probs.toArrow(), model.backoffs.toArrow()))
     if not len(probs["gram"]):
         return None
@@ -130,7 +130,23 @@ def as_table(model: Model, order: int = ORDER) -> ContextTable | None:
     return ContextTable.of(symbols, contexts, costs)
 
 
-def bits_by_table(docs: DataFrame, table: ContextTable, key: list[str]) -> DataFrame:
+def as_grams(model: Model, order: int = ORDER) -> GramTable | None:
+    """The model as a table of its own n-grams and contexts for tasks, without a cell for what was not seen; None if nothing was trained."""
+    probs, backoffs = ({n: t.column(n).to_numpy() for n in t.column_names} for t in (model.probs.toArrow(), model.backoffs.toArrow()))
+    if not len(probs["gram"]):
+        return None
+
+    def sorted_part(table: dict, name: str, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        use = np.flatnonzero((table["order"] == k + 1) & whole(table[name], size))
+        use = use[np.argsort(table[name][use])]
+        return table[name][use], table["bits"][use, None].astype(np.float32)
+
+    seen, costs = zip(*(sorted_part(probs, "gram", k, k + 1) for k in range(order)), strict=True)
+    contexts, escapes = zip(*(sorted_part(backoffs, "context", k, k) for k in range(order)), strict=True)
+    return GramTable(list(seen), list(costs), list(contexts), list(escapes))
+
+
+def bits_by_table(docs: DataFrame, table: ContextTable | GramTable, key: list[str]) -> DataFrame:
     """``(*key, bits, size)`` of every whole text of ``docs (*key, text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     kinds = docs.select(*key).schema
@@ -146,39 +162,50 @@ def bits_by_table(docs: DataFrame, table: ContextTable, key: list[str]) -> DataF
     return docs.select(*key, "text").mapInArrow(run, schema)
 
 
-def bits_by_joins(docs: DataFrame, model: Model, key: str, order: int = ORDER) -> DataFrame:
-    """As ``bits_by_table``, by joining each document's distinct n-grams with the sharded tables, from the longest order down."""
+def _whole(column: str, size: int) -> Column:
+    """Whether none of the latest ``size`` bytes is 0: contexts that reach over a text's start, and bytes of value 0, count as not seen."""
+    inside = F.lit(True)
+    for b in range(size):
+        inside = inside & (F.shiftright(column, 8 * b).bitwiseAND(255) != 0)
+    return inside
+
+
+def gram_bits(asked: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
+    """``(gram, bits)`` of distinct n-grams ``asked (gram)``, by joins with the sharded tables from the longest order down."""
+    left = asked.select("gram", F.lit(None).cast("double").alias("bits"), F.lit(0.0).alias("added"))
+    for k in range(order, 0, -1):
+        probs = model.probs.where((F.col("order") == k) & _whole("gram", k)).select(F.col("gram").alias("_g"), F.col("bits").alias("_p"))
+        backoffs = model.backoffs.where((F.col("order") == k) & _whole("context", k - 1)).select(F.col("context").alias("_c"), F.col("bits").alias("_b"))
+        if k <= 2:  # at most 65,536 rows; few keys would put all that is asked in few tasks
+            probs, backoffs = F.broadcast(probs), F.broadcast(backoffs)
+        keyed = left.withColumn("_g", _low("gram", k)).withColumn("_c", _low(F.shiftright("gram", 8), k - 1))
+        met = keyed.join(probs, "_g", "left").join(backoffs, "_c", "left")
+        left = met.select("gram", F.coalesce("bits", F.col("added") + F.col("_p")).alias("bits"), (F.col("added") + F.coalesce("_b", F.lit(0.0))).alias("added"))
+    return left.select("gram", F.coalesce("bits", F.col("added") + 8).alias("bits"))
+
+
+def bits_by_joins(docs: DataFrame, model: Model, key: str | list[str], order: int = ORDER) -> DataFrame:
+    """As ``bits_by_table``, one result for each row whatever its key: rows get a number, and their n-grams meet the bits of the distinct ones."""
+    key = [key] if isinstance(key, str) else key
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *key, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_row", *key, "size", "gram", "n"]
         for part in slices(batches, "text"):
-            for k, text in zip(part.column(key).to_pylist(), as_bytes(part.column("text")), strict=True):
+            texts, none = as_bytes(part.column("text")), pa.nulls(part.num_rows, pa.int64())
+            heads = [part.column("_row"), *(part.column(k) for k in key), pa.array([len(t) for t in texts], pa.int64()), none, none]
+            yield pa.RecordBatch.from_arrays(heads, names)
+            for number, text in zip(part.column("_row").to_pylist(), texts, strict=True):
                 packed, n = grams([text], order - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int64()), pa.array(packed), pa.array(n)], [key, "gram", "n"])
+                blank = [pa.nulls(len(n), part.column(k).type) for k in key]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number)), *blank, pa.nulls(len(n), pa.int64()), pa.array(packed), pa.array(n)], names)
 
-    sizes = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    left = docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(count, f"{key} long, gram long, n long").withColumn("added", F.lit(0.0))
-    parts = []
-    for k in range(order, 0, -1):
-        probs = model.probs.where(F.col("order") == k).select("gram", F.col("bits").alias("_p"))
-        backoffs = model.backoffs.where(F.col("order") == k).select("context", F.col("bits").alias("_b"))
-        # Contexts that reach over a text's start, and bytes of value 0, count as not seen.
-        whole = F.lit(True)
-        for b in range(k):
-            whole = whole & (F.shiftright("gram", 8 * b).bitwiseAND(255) != 0)
-        met = left.withColumn("_g", F.when(whole, _low("gram", k))).join(probs.withColumnRenamed("gram", "_g"), "_g", "left")
-        parts.append(met.where(F.col("_p").isNotNull()).select(key, (F.col("n") * (F.col("added") + F.col("_p"))).alias("bits")))
-        past = F.lit(True)
-        for b in range(1, k):
-            past = past & (F.shiftright("gram", 8 * b).bitwiseAND(255) != 0)
-        rest = met.where(F.col("_p").isNull()).withColumn("_c", F.when(past, _low(F.shiftright("gram", 8), k - 1)))
-        rest = rest.join(backoffs.withColumnRenamed("context", "_c"), "_c", "left")
-        left = rest.select(key, "gram", "n", (F.col("added") + F.coalesce("_b", F.lit(0.0))).alias("added"))
-    parts.append(left.select(key, (F.col("n") * (F.col("added") + 8)).alias("bits")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    summed = every.groupBy(key).agg(F.sum("bits").alias("bits"))
-    return sizes.join(summed, key, "left").select(key, F.coalesce("bits", F.lit(0.0)).alias("bits"), "size")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*key).schema]
+    counted = settle(rows.mapInArrow(count, ", ".join(["_row long", *kinds, "size long", "gram long", "n long"])), "document-grams")
+    own = counted.where(F.col("gram").isNotNull()).select("_row", "gram", "n")
+    summed = own.join(gram_bits(own.select("gram").distinct(), model, order), "gram").groupBy("_row").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    heads = counted.where(F.col("gram").isNull()).select("_row", *key, "size")
+    return heads.join(summed, "_row", "left").select(*key, F.coalesce("bits", F.lit(0.0)).alias("bits"), "size")
 
 
 @dataclass
@@ -186,27 +213,23 @@ class Classifier:
     """``bands``: by language (None: all) the mean and the lowest and highest measure that stay."""
 
     model: Model
-    table: ContextTable | None
+    table: GramTable | None
     bands: dict[str | None, tuple[float, float, float]]
 
 
-def fit(docs: DataFrame, trusted: DataFrame, train_docs: int = TRAIN_DOCS) -> Classifier:
-    """Model and bands from ``docs (doc_id, text, lang)`` and the ids of ``trusted (doc_id)``.
+def fit(docs: DataFrame, trusted: DataFrame) -> Classifier:
+    """Model and bands from ``docs (doc_id, text, lang)`` and the ids of ``trusted (doc_id)``; both come from all trusted documents.
 
-    The model's sample is bounded; the bands come from all trusted documents.  Their ids are joined to measures, never to texts.
+    Up to MAX_IDS ids go to where the texts lie; beyond, the trusted texts are shuffled to them.
     """
     ids = trusted.select("doc_id").distinct()
-    sample = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(train_docs)
-    model = train(docs.join(F.broadcast(sample), "doc_id", "left_semi"))
+    own = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_semi")
+    model = train(own)
     if model.rows == 0:
         return Classifier(model, None, {})
-    if model.rows <= MAX_SHARED:
-        table = as_table(model)
-        measured = bits_by_table(docs.select("doc_id", "lang", "text"), table, ["doc_id", "lang"])
-    else:
-        table = None
-        measured = bits_by_joins(docs, model, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
-    known = settle(measured.where(F.col("size") > 0).join(ids, "doc_id", "left_semi").select("lang", "bits", "size"), "trusted-bits")
+    table = as_grams(model) if model.rows <= MAX_SHARED else None
+    measured = bits_by_joins(own, model, ["doc_id", "lang"]) if table is None else bits_by_table(own, table, ["doc_id", "lang"])
+    known = settle(measured.where(F.col("size") > 0).select("lang", "bits", "size"), "trusted-bits")
     means = known.groupBy("lang").agg((F.sum("bits") / F.sum("size")).alias("mean"), F.count(F.lit(1)).alias("n"))
     overall = known.agg((F.sum("bits") / F.sum("size")).alias("mean"))
     drawn = (F.col("bits") + SMOOTH * F.col("mean")) / (F.col("size") + SMOOTH)
@@ -239,7 +262,7 @@ def classify(docs: DataFrame, classifier: Classifier) -> DataFrame:
     if classifier.table is not None:
         measured = bits_by_table(rows, classifier.table, ["doc_id", "lang"])
     elif classifier.model.rows:
-        measured = bits_by_joins(rows, classifier.model, "doc_id").join(rows.select("doc_id", "lang"), "doc_id")
+        measured = bits_by_joins(rows, classifier.model, ["doc_id", "lang"])
     else:
         measured = rows.select("doc_id", "lang", F.lit(0.0).alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     return measured.select(
@@ -252,8 +275,14 @@ def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     classifier = fit(docs, trusted)
     names = docs.columns
     if classifier.table is None:
-        kept = classify(docs, classifier).where("keep").select("doc_id").distinct()
-        return docs.join(kept, "doc_id", "left_semi")
+        if not classifier.model.rows:
+            return docs.where(F.octet_length("text") > 0)
+        # What decides is the text and its language: ids may repeat or be null.
+        rows = docs.select(F.col("lang").alias("_l"), F.xxhash64("text").alias("_h"), F.hash("text").alias("_i"), "text")
+        measured = bits_by_joins(rows, classifier.model, ["_l", "_h", "_i"])
+        kept = measured.where(stays(F.col("bits"), F.col("size"), F.col("_l"), classifier.bands)).select("_l", "_h", "_i").distinct()
+        same = F.col("lang").eqNullSafe(F.col("_l")) & (F.xxhash64("text") == F.col("_h")) & (F.hash("text") == F.col("_i"))
+        return docs.join(kept, same, "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(classifier.table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,38 @@ def test_quality_rejects_junk_and_keeps_trusted(small, awkward, nothing):
     assert quality.keep_good(awkward, trusted).columns == awkward.columns
 
 
+def test_quality_counts_every_trusted_text(spark):
+    """6,000 trusted texts, each with a word of its own: the model knows them all."""
+    docs = spark.range(1_000, 7_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("rare"), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    model = quality.fit(docs, docs.select("doc_id")).model
+    known = {r.gram for r in model.probs.where("order = 5").select("gram").collect()}
+    assert {int.from_bytes(f"e{i}".encode()) for i in range(1_000, 7_000)} <= known
+
+
+def test_quality_by_joins_is_per_row(small, awkward, monkeypatch):
+    """Sharded scoring against the shared table on repeated and null ids, null languages and empty texts."""
+    docs, trusted = small("documents").where("doc_id < 120"), small("labels").where("quality = 1")
+    columns = awkward.select("doc_id", "text", "lang")
+
+    def results():
+        classifier = quality.fit(docs, trusted)
+        found = quality.classify(columns, classifier).collect()
+        return classifier, sorted(((str(r.doc_id), str(r.lang), r.size, round(r.bits_per_byte, 3), r.keep) for r in found)), sorted(str(r) for r in quality.keep_good(awkward, trusted_model(classifier)).collect())
+
+    def trusted_model(classifier):
+        monkeypatch.setattr(quality, "fit", lambda *_: classifier)
+        return None
+
+    real = quality.fit
+    shared = results()
+    monkeypatch.setattr(quality, "fit", real)
+    monkeypatch.setattr(quality, "MAX_SHARED", 0)
+    joined = results()
+    assert shared[0].table is not None and joined[0].table is None
+    assert shared[1] == joined[1] and len(joined[1]) == 10 and shared[2] == joined[2]
+    assert shared[0].bands.keys() == joined[0].bands.keys()
+
+
 def windows(benchmark):
     found = {}
     for item, text in benchmark:
