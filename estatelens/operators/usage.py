@@ -18,14 +18,20 @@ def field_kind() -> Column:
 def deduped_bindings(bindings: DataFrame) -> DataFrame:
     """One binding per (field, page, visual): the first non-filter role, else the first binding.
 
-    The order is one number, filter roles last, then by sequence: its minimum is a hash aggregate, so rows combine before the shuffle and a hot
-    field never fills one task.  The binding itself then joins by it.
+    The order is one number, filter roles last, then by sequence (none at the end): its minimum is a hash aggregate, so rows combine before the
+    shuffle and a hot field never fills one task.  The binding itself then joins by it; of those that tie (references below one object of a visual
+    share their sequence) the smallest by role, field type, visual type and title stands.  Null keys are equal to each other.
     """
     keys = ["model_id", "kind", "table_name", "field_name", "page_id", "visual_id"]
-    order = (F.col("role") == "Filter").cast("long") * F.lit(1 << 62) + F.col("seq")
-    keyed = bindings.withColumn("kind", field_kind()).withColumn("_order", F.coalesce(order, F.col("seq")))
+    rest = ["seq", "role", "field_type", "visual_type", "title"]
+    is_filter = F.coalesce(F.col("role") == "Filter", F.lit(False)).cast("long")
+    order = is_filter * F.lit(1 << 62) + F.coalesce("seq", F.lit((1 << 62) - 1))
+    keyed = bindings.withColumn("kind", field_kind()).withColumn("_order", order)
     first = keyed.groupBy(*keys).agg(F.min("_order").alias("_order"))
-    return keyed.join(first, [*keys, "_order"]).select(*keys, "seq", "role", "field_type", "visual_type", "title")
+    same = [keyed[k].eqNullSafe(first[k]) for k in keys] + [keyed["_order"] == first["_order"]]
+    tied = keyed.join(first, same, "left_semi")
+    one = tied.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_b"))
+    return one.select(*keys, *(F.col("_b")[c].alias(c) for c in rest))
 
 
 def with_page_names(bindings: DataFrame, pages: DataFrame) -> DataFrame:

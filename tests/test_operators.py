@@ -78,6 +78,13 @@ def test_binding_dedupe_prefers_wells(build, rows):
     assert rows(usage.field_usage(e.bindings), "field_name", "usage_count", "page_count", "is_slicer_field") == [("A", 3, 2, False), ("c", 1, 1, True)]
 
 
+def test_binding_dedupe_gives_one_row_for_ties_and_nulls(spark, build, rows):
+    e = build(measures=[m("A")], bindings=[binding(1, "A", role="Y"), binding(1, "A", role="X"), binding(1, "A", role="Y"), binding(2, "A", page="q")])
+    no_page = e.bindings.withColumn("page_id", F.when(F.col("page_id") != "q", F.col("page_id"))).unionByName(
+        e.bindings.where("page_id = 'q'").withColumns({"page_id": F.lit(None).cast("string"), "visual_id": F.lit("w"), "seq": F.lit(None).cast("long")}))
+    assert rows(usage.deduped_bindings(no_page), "page_id", "visual_id", "role", "seq") == [("p", "v", "X", 1), (None, "v", "Y", 2), (None, "w", "Y", None)]
+
+
 def edges_of(spark, pairs):
     return spark.createDataFrame([("m", a, b) for a, b in pairs], "model_id string, src string, dst string")
 
