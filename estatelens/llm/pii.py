@@ -5,9 +5,11 @@ points) from a running sum over a document's matches, trees are CASE expressions
 by FEATURE_ROWS, comes to the driver, where the trees are grown.
 
 Base kinds (email, ip, card, phone) are proposed by their generators and always selected where their format holds.  Labels to learn from are
-formats that prove themselves: checksums and ranges that hold or fail, secrets behind an assignment, keys with a fixed prefix.  The trees see the
+formats that prove themselves: checksums (of account numbers too) and ranges (of social security numbers too) that hold or fail, secrets behind an assignment, keys with a fixed prefix.  The trees see the
 match's shape and what stands around it, not the proof, so they carry over to proposals without one.  Thresholds are set by kind group on
-held-out documents, at the least score whose selections are right in PRECISION of cases.
+held-out documents, at the least score whose selections are right in PRECISION of cases; a kind whose held-out labels are none, or all 0, needs
+ALONE, and more than any of those.  An account number is selected if its check digits hold and a social security number only if its ranges do: by
+a cue before it, or by its score.
 
 Defined results: null and empty texts have no spans; equal spans of several kinds all count and are redacted once, under the kind listed first;
 repeated rows each get their own result; an empty table gives an empty one; other columns pass through ``redact`` untouched.
@@ -38,13 +40,18 @@ GENERATORS = {
     "spelled_email": (r"(?i)[ (\[]dot[ )\]]", r"(?i)\b[a-z0-9._%+-]{2,64} (?:at|\(at\)|\[at\]) [a-z0-9-]{2,64}(?: (?:dot|\(dot\)|\[dot\]) [a-z]{2,10})+\b"),
 }
 KINDS = tuple(GENERATORS)
+ACCOUNT, NUMBER = KINDS.index("account"), KINDS.index("number")
+#: Numbers of the form 3-2-4 have a threshold of their own, under this number.
+SSN = len(KINDS)
+#: Areas, groups and serials that no social security number has.
+NO_SSN = r"^(?:000|666|9)|-00-|-0000$"
 BEFORE, AFTER = 24, 8
 CUES = r"(?i)(?:token|password|passwd|secret|api.?key|access.?key|credential)\W{0,6}$"
 CONTACT_CUES = r"(?i)(?:mail|phone|tel|call|fax|contact|mobile|iban|account|card|ssn|ip|address)\W{0,4}$"
 #: Distinct feature values that come to the driver at most; the most frequent, by count, if there are more.
 FEATURE_ROWS = 50_000
 FEATURES = ("f_kind", "f_size", "f_digits", "f_upper", "f_marks", "f_cue", "f_joined", "f_mixed")
-TREES, DEPTH, RATE, PRECISION = 24, 3, 0.4, 0.95
+TREES, DEPTH, RATE, PRECISION, ALONE = 24, 3, 0.4, 0.95, 0.9
 
 
 def _proposals(text: Column) -> Column:
@@ -80,6 +87,14 @@ def _valid() -> Column:
     return F.when(F.col("kind") == 0, True).when(F.col("kind") == 1, ip).when(F.col("kind") == 2, card).when(F.col("kind") == 3, size.between(8, 15))
 
 
+def _iban() -> Column:
+    """Whether an account number's check digits hold: from its fifth sign on and then the first four, letters as 10 to 35, it is 1 modulo 97."""
+    signs = F.regexp_replace("match", " ", "")
+    turned = F.regexp_extract_all(F.concat(F.substring(signs, 5, 40), F.substring(signs, 1, 4)), F.lit("."), F.lit(0))
+    add = lambda a, c: F.when(F.ascii(c) < 58, (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return (F.length(signs) >= 15) & (F.aggregate(turned, F.lit(0), add) == 1)
+
+
 def _label() -> Column:
     """1 and 0 where a proposal proves or disproves itself, else null."""
     kind, match, before = F.col("kind"), F.col("match"), F.col("before")
@@ -90,8 +105,9 @@ def _label() -> Column:
         .when((kind == KINDS.index("key")) & secret, 1)
         .when((kind == KINDS.index("key")) & plain, 0)
         .when((kind == KINDS.index("local_phone")) & before.rlike(r"\+1[ -]?$|(?i)(?:phone|tel|call|fax|mobile)\W{0,4}$"), 1)
-        .when((kind == KINDS.index("number")) & match.rlike("^[0-9]{9,}$") & ~before.rlike(CONTACT_CUES), 0)
-        .when((kind == KINDS.index("account")) & ~match.rlike("[0-9].*[0-9].*[0-9].*[0-9]"), 0)
+        .when((kind == NUMBER) & match.rlike("^[0-9]{9,}$") & ~before.rlike(CONTACT_CUES), 0)
+        .when((kind == NUMBER) & match.contains("-"), (~match.rlike(NO_SSN)).cast("int"))
+        .when(kind == ACCOUNT, _iban().cast("int"))
     )
 
 
@@ -197,10 +213,11 @@ def fit(proposals: DataFrame) -> Trees:
     counts = proposals.where(F.col("label").isNotNull()).groupBy(*FEATURES, "label", fold).agg(F.count(F.lit(1)).alias("n"))
     rows = [r.asDict() for r in counts.orderBy(F.desc("n"), *FEATURES, "label", "fold").limit(FEATURE_ROWS).collect()]
     trees = grow([r for r in rows if not r["fold"]])
-    for number in range(len(KINDS)):
-        kept = sorted(((trees.score(r), r["label"], r["n"]) for r in rows if r["fold"] and r["f_kind"] == number), reverse=True)
+    for number in range(len(KINDS) + 1):
+        of = [r for r in rows if r["fold"] and (SSN if r["f_kind"] == NUMBER and r["f_marks"] else r["f_kind"]) == number]
+        kept = sorted(((trees.score(r), r["label"], r["n"]) for r in of), reverse=True)
         right = every = 0
-        bound = 0.9 if not kept else 1.01
+        bound = 1.01 if any(label for _, label, _ in kept) else max([ALONE, *(score + 1e-9 for score, _, _ in kept)])
         for i, (score, label, n) in enumerate(kept):
             right, every = right + n * label, every + n
             if right >= PRECISION * every and (i + 1 == len(kept) or kept[i + 1][0] < score):
@@ -211,11 +228,19 @@ def fit(proposals: DataFrame) -> Trees:
 
 def selected(proposals: DataFrame, trees: Trees) -> DataFrame:
     """``proposals`` with ``score`` and ``chosen``: base kinds whose format holds, and others from their kind's threshold on."""
-    bound = F.lit(0.9)
+    group = F.when((F.col("kind") == NUMBER) & (F.col("f_marks") > 0), SSN).otherwise(F.col("kind"))
+    bound = F.lit(ALONE)
     for number, value in trees.bounds.items():
-        bound = F.when(F.col("kind") == number, value).otherwise(bound)
+        bound = F.when(group == number, value).otherwise(bound)
     scored = proposals.withColumn("score", F.when(F.col("kind").isNotNull(), trees.column()))
-    return scored.withColumn("chosen", F.coalesce(F.when(F.col("kind") <= 3, F.col("valid")).otherwise(F.col("score") >= bound), F.lit(False)))
+    holds = F.col("label") == 1
+    chosen = (
+        F.when(F.col("kind") <= 3, F.col("valid"))
+        .when(F.col("kind") == ACCOUNT, holds)
+        .when(group == SSN, holds & ((F.col("f_cue") == 1) | (F.col("score") >= bound)))
+        .otherwise(F.col("score") >= bound)
+    )
+    return scored.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
 
 def find(docs: DataFrame) -> DataFrame:

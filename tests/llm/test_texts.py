@@ -251,3 +251,18 @@ def test_trees_learn_and_their_column_agrees(spark):
     for r in frame.withColumn("p", trees.column()).collect():
         assert r.p == pytest.approx(trees.score(r.asDict()))
     assert frame.where(F.lit(True)).count() == len(rows)
+
+
+@pytest.mark.parametrize("plain", [0, 300])
+def test_planted_numbers_and_accounts_beside_plain_ones(spark, plain):
+    """Social security numbers and IBANs are found whether or not plain numbers and codes of their form stand beside them."""
+    rows = [(i, f"Her number {100 + i}-{10 + i % 80}-{1000 + i} is on file.") for i in range(60)]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    rows += [(100 + i, f"paid from {x} today") for i, x in enumerate(ibans)]
+    rows += [(200, "SSN: 900-12-3456 and 123-00-4567"), (201, "paid from DE88 3704 0044 0532 0130 00 today")]
+    rows += [(1_000 + i, f"part {123_456_789 + 7 * i} of AB12CDEFGHIJKLMNOP lot") for i in range(plain)]
+    found = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("number:11:22" in found[i] for i in range(60))
+    assert [f"account:10:{10 + len(x)}" in found[100 + i] for i, x in enumerate(ibans)] == [True] * 3
+    assert "number" not in found[200] and "account" not in found[201]
+    assert not any("number" in found[1_000 + i] or "account" in found[1_000 + i] for i in range(plain))
