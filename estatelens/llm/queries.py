@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, chat, decontamination, jaccard, language, licenses, neighbours, pii, quality, token_files
+from estatelens.llm import bpe, chat, decontamination, html, jaccard, language, licenses, neighbours, periods, pii, quality, token_files, whitening
 from estatelens.llm.common import table
 from estatelens.session import tune
 
@@ -62,6 +62,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.collapse(periods.plant(table(spark, sf_dir, "documents"))))
+
+
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The session's settings, and this package on the path of local workers that were started elsewhere."""
 
@@ -78,7 +91,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         op1_language_id, op2_nearest_neighbours, op3_bpe_round_trip, op4_chat_format, op5_quality, op6_decontamination, op7_license_scan,
-        op8_personal_data, op9_token_files, op10_jaccard_join,
+        op8_personal_data, op9_token_files, op10_jaccard_join, op11_embedding_whitening, op12_html_text, op13_periodic_runs,
     ]
     return {f.__name__: _ready(f) for f in every} | {"pipeline": _ready(corpus_pipeline.run)}
 
