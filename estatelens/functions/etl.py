@@ -14,8 +14,6 @@ from estatelens.functions import patterns as P
 from estatelens.functions.text import trimmed, undouble
 
 GROUP = P.nested(r"(\[{", r")\]}")
-BRACES = P.nested("{", "}")
-PARENS = P.nested("(", ")")
 
 _WORD = r"[A-Za-z_]\w*+"
 _OTHER = r"[^A-Za-z_\"()\[\]{}]"
@@ -29,9 +27,8 @@ STATEMENT = rf'(?:{P.CLOSED_STRING}|{GROUP}|[^,"()\[\]{{}}]++)++'
 TOKEN = rf'{P.CLOSED_STRING}|{_WORD}|[()\[\]{{}},"]|[^A-Za-z_,"()\[\]{{}}]++'
 COMMENTS_KEEP_STRINGS = rf"({P.CLOSED_STRING})|{P.BLOCK_COMMENT}|{P.LINE_COMMENT}"
 
-NATIVE_CALL = (
-    rf'^Value\.NativeQuery\((?:[^"(),]++|{P.CLOSED_STRING}|{PARENS})*+,\s*"([^"]*+(?:""[^"]*+)*+)"'
-)
+ARGUMENT = rf'{P.CLOSED_STRING}|[(),"]|[^(),"]++'
+LISTED = rf"{P.CLOSED_STRING}|[{{}}]"
 QUERY_OPTION = r'\bQuery\s*=\s*"([^"]*+(?:""[^"]*+)*+)"'
 
 
@@ -51,12 +48,47 @@ def source_location(body: Column) -> Column:
 def native_query(body: Column) -> Column:
     """SQL text handed to the source: second argument of the native call, else a ``Query="..."`` option."""
     at = F.instr(body, "Value.NativeQuery(")
-    call = F.when(at > 0, F.regexp_extract(F.substring(body, at, F.length(body)), NATIVE_CALL, 1)).otherwise(F.lit(""))
+    call = F.when(at > 0, _second_string(F.substring(body, at + len("Value.NativeQuery("), F.length(body)))).otherwise(F.lit(""))
     options = F.filter(F.regexp_extract_all(body, F.lit(QUERY_OPTION), F.lit(1)), lambda q: q.rlike("(?i)select|with|exec"))
     direct = trimmed(undouble(call))
     return F.when(direct != "", direct).otherwise(F.coalesce(trimmed(undouble(F.get(options, F.lit(0)))), F.lit("")))
 
 
+def _second_string(rest: Column) -> Column:
+    """The string, without its quotes, that is the second argument of a call whose opening bracket lies before ``rest``; brackets nest at any depth."""
+    tokens = F.regexp_extract_all(rest, F.lit(ARGUMENT), F.lit(0))
+
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        comma = F.when(s["comma"] != 0, s["comma"]).when(depth == 0, -1).when((token == ",") & (depth == 1), s["at"] + 1).otherwise(0)
+        return F.struct((s["at"] + 1).alias("at"), depth.alias("depth"), comma.alias("comma"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("depth"), F.lit(0).alias("comma"))
+    comma = F.aggregate(tokens, start, step, lambda s: s["comma"])
+    first, second = F.get(tokens, comma), F.get(tokens, comma + 1)
+    argument = F.when(trimmed(first) == "", second).otherwise(first)
+    closed = (comma > 0) & argument.startswith('"') & (F.length(argument) > 1)
+    return F.when(closed, F.substring(argument, 2, F.length(argument) - 2)).otherwise(F.lit(""))
+
+
+def _first_list(text: Column) -> Column:
+    """The strings of the first list in braces after a step's first bracket, lists in it included; all that follow where it isn't closed."""
+    opened = F.greatest(F.instr(text, "("), F.lit(0))
+    rest = F.substring(text, opened + 1, F.length(text))
+    at = F.instr(rest, "{")
+    tokens = F.when(at > 0, F.regexp_extract_all(F.substring(rest, at, F.length(rest)), F.lit(LISTED), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    def step(s: Column, token: Column) -> Column:
+        depth = s["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        ended = s["ended"] | (depth == 0)
+        return F.struct((s["n"] + F.when(ended, 0).otherwise(1)).alias("n"), F.when(s["ended"], s["depth"]).otherwise(depth).alias("depth"), ended.alias("ended"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("ended"))
+    n = F.aggregate(tokens, start, step, lambda s: s["n"])
+    strings = F.filter(F.slice(tokens, F.lit(1), n), lambda t: t.startswith('"'))
+    return F.transform(strings, lambda t: undouble(F.substring(t, 2, F.length(t) - 2)))
+
+
 def _source(kind: Column, server: Column, database: Column, schema: Column, name: Column) -> Column:
     return F.struct(
         kind.alias("kind"), server.alias("server"), database.alias("database"), schema.alias("schema"), name.alias("name")
@@ -214,8 +246,7 @@ def step_summary(text: Column, kind: Column) -> Column:
         found = F.regexp_extract(text, pattern, 1)
         return F.when(found != "", F.concat(F.lit(prefix), found, F.lit(suffix))).otherwise(none)
 
-    listed = F.regexp_extract(text, rf"(?s)^(?:[^(]*+\()?[^{{]*+({BRACES})", 1)
-    names = F.transform(F.regexp_extract_all(listed, F.lit(r'"([^"]*+(?:""[^"]*+)*+)"'), F.lit(1)), undouble)
+    names = _first_list(text)
     count = F.size(names)
     projected = F.when(
         count > 4, F.concat(F.array_join(F.slice(names, 1, 4), ", "), F.lit(" (+"), (count - 4).cast("string"), F.lit(" more)"))

@@ -6,6 +6,9 @@ round; a frontier is broadcast only after its size was measured, otherwise the j
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from estatelens.session import broadcast_if_small, checkpoint, row_bytes
 HOPS = 4
 LAYERS = 2
 COMPACT_EVERY = 8
+#: Edges on or between cycles of one model that a single task takes.
+SMALL_CORE = 200_000
 
 
 def _settle(df: DataFrame) -> tuple[DataFrame, int, int]:
@@ -68,16 +73,54 @@ def peel(edges: DataFrame) -> tuple[DataFrame, int]:
     return edges, n
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def _rings_of_one(table: pa.Table) -> pa.Table:
+    """Kosaraju's two walks over one model's core: nodes in the order they are left, then backwards from the last one."""
+    model, follow, back = table.column("model_id")[0].as_py(), defaultdict(list), defaultdict(list)
+    for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
+        follow[a].append(b)
+        back[b].append(a)
+    left, met = [], set()
+    for start in [*follow]:
+        stack = [] if start in met else [(start, iter(follow[start]))]
+        met.add(start)
+        while stack:
+            node, ahead = stack[-1]
+            step = next((x for x in ahead if x not in met), None)
+            if step is None:
+                left.append(stack.pop()[0])
+            else:
+                met.add(step)
+                stack.append((step, iter(follow.get(step, ()))))
+    components, nodes = [], []
+    for start in reversed(left):
+        group, stack = [], [start] if start in met else []
+        met.discard(start)
+        while stack:
+            node = stack.pop()
+            group.append(node)
+            new = [x for x in back.get(node, ()) if x in met]
+            met.difference_update(new)
+            stack.extend(dict.fromkeys(new))
+        if len(group) > 1:
+            components += [min(group)] * len(group)
+            nodes += group
+    columns = [pa.array([model] * len(nodes), pa.string()), pa.array(components, pa.string()), pa.array(nodes, pa.string())]
+    return pa.Table.from_arrays(columns, ["model_id", "component", "node"])
+
+
+def cycles(edges: DataFrame, small: int = SMALL_CORE) -> DataFrame:
     """Members of every cycle: ``(model_id, component, node)``, ``component`` being its smallest member.
 
-    Strongly connected components by colouring: every node takes the largest name that reaches it; a node that keeps
+    After peeling little is left, as a rule: where no model has more than ``small`` edges left, a task takes a model.  Otherwise, with the same result, strongly connected components by colouring: every node takes the largest name that reaches it; a node that keeps
     its own name is a root, and whatever of its colour reaches it back is its component.  The work per round is linear
     in the edges, no pairs of nodes are ever formed.
     """
     model = edges.select("model_id", F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
     found = model
     core, n = peel(edges)
+    most = core.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if n else 0
+    if n and most <= small:
+        return core.groupBy("model_id").applyInArrow(_rings_of_one, "model_id string, component string, node string")
     while n:
         colour = _largest_ancestor(core)
         inside = _within_colour(core, colour)
@@ -135,3 +178,82 @@ def dead_chains(edges: DataFrame, statuses: DataFrame) -> DataFrame:
     alive = reach(edges, seeds).withColumnRenamed("node", "name")
     return statuses.where(F.col("status") != "unused").join(alive, ["model_id", "name"], "left_anti")
 
+
+def rings(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One shortest ring through the smallest member of every cycle: ``(model_id, component, step_no, node, ring_length)``.
+
+    A breadth-first walk leaves each component's smallest member and notes from which node every other one was first met, the smallest where several lead there.
+    The walk of a component ends where it meets its start again; the notes are then read back with jumps whose length doubles.
+    """
+    keys = ["model_id", "component"]
+    members = checkpoint(cycles(edges) if members is None else members)
+    ends = members.withColumnRenamed("node", "src"), members.withColumnsRenamed({"node": "dst", "component": "_c"})
+    both = edges.select("model_id", "src", "dst").distinct().join(ends[0], ["model_id", "src"]).join(ends[1], ["model_id", "dst"])
+    inside = checkpoint(both.where(F.col("component") == F.col("_c")).select(*keys, "src", "dst"))
+    start = members.select(*keys, F.col("component").alias("node")).distinct()
+    frontier, n, size = _settle(start.withColumns({"parent": F.lit(None).cast("string"), "depth": F.lit(0)}))
+    seen, closed, depth = frontier, [], 0
+    while n:
+        step, met = frontier.select(*keys, F.col("node").alias("src")), None
+        for hop in range(HOPS):
+            depth += 1
+            ahead = inside.join(broadcast_if_small(step, size) if hop == 0 else step, [*keys, "src"])
+            found = ahead.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent")).withColumn("depth", F.lit(depth))
+            met = found if met is None else met.unionByName(found)
+            step = found.where(F.col("node") != F.col("component")).select(*keys, F.col("node").alias("src"))
+        first = met.groupBy(*keys, "node").agg(F.min(F.struct("depth", "parent")).alias("_m")).select(*keys, "node", "_m.parent", "_m.depth")
+        first = checkpoint(first)
+        closed.append(first.where(F.col("node") == F.col("component")))
+        new = first.where(F.col("node") != F.col("component")).join(seen, [*keys, "node"], "left_anti").join(closed[-1].select(*keys), keys, "left_anti")
+        # What a closing walk met is needed for reading back, but leads no further.
+        kept = first.where(F.col("node") != F.col("component")).join(seen, [*keys, "node"], "left_anti")
+        seen = checkpoint(seen.unionByName(kept))
+        frontier, n, size = _settle(new.where(F.col("depth") == depth))
+    if not closed:
+        return seen.select(*keys, F.col("depth").cast("long").alias("step_no"), "node", F.col("depth").cast("long").alias("ring_length"))
+    last = closed[0]
+    for more in closed[1:]:
+        last = last.unionByName(more)
+    on = last.select(*keys, F.col("parent").alias("node"))
+    jump, longest = seen.select(*keys, "node", F.col("parent").alias("up")).where(F.col("up").isNotNull()), 1
+    while longest < depth:
+        on = checkpoint(on.unionByName(on.join(jump, [*keys, "node"]).select(*keys, F.col("up").alias("node"))))
+        further = jump.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next"))
+        jump = checkpoint(jump.join(further, [*keys, "up"]).select(*keys, "node", F.col("_next").alias("up")))
+        longest *= 2
+    steps = on.distinct().join(seen, [*keys, "node"]).join(last.select(*keys, F.col("depth").cast("long").alias("ring_length")), keys)
+    return steps.select(*keys, F.col("depth").cast("long").alias("step_no"), "node", "ring_length")
+
+
+def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Marks ``(model_id, node, word, bits)`` of ``seeds`` and of every node that leads to them along ``dst -> src``: 64 marks in a word.
+
+    Only marks that are new to a node go on in the next round, so a cycle ends by itself; a node holds one number per word, however many marks reach it.
+    """
+    keys = ["model_id", "node", "word"]
+    back = checkpoint(edges.select("model_id", F.col("dst").alias("node"), F.col("src").alias("_to")))
+    either = F.bit_or("bits").alias("bits")
+    fresh, n, size = _settle(seeds.select(*keys, "bits").groupBy(*keys).agg(either))
+    state = fresh
+    while n:
+        step, met = fresh, None
+        for hop in range(LAYERS):
+            ahead = back.join(broadcast_if_small(step, size) if hop == 0 else step, ["model_id", "node"])
+            step = ahead.groupBy("model_id", F.col("_to").alias("node"), "word").agg(either)
+            met = step if met is None else met.unionByName(step)
+        held = state.withColumnRenamed("bits", "_held")
+        added = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("long"))))
+        new = met.groupBy(*keys).agg(either).join(held, keys, "left").select(*keys, added.alias("bits")).where("bits != 0")
+        fresh, n, size = _settle(new)
+        if n:
+            state = checkpoint(state.unionByName(fresh).groupBy(*keys).agg(either))
+    return state
+
+
+def marked(words: DataFrame, name: str) -> DataFrame:
+    """How many rows of ``words (model_id, word, bits)`` hold each mark: ``(model_id, mark, name)``, marks from 0."""
+    bits = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1).cast("long"))) for k in range(64)]
+    counted = words.groupBy("model_id", "word").agg(F.array(*bits).alias("_n"))
+    return counted.select("model_id", "word", F.posexplode("_n").alias("_at", name)).where(F.col(name) > 0).select(
+        "model_id", (F.col("word") * 64 + F.col("_at")).alias("mark"), name
+    )

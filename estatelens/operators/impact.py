@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from estatelens.estate import Estate
 from estatelens.functions import etl, text
 from estatelens.functions import patterns as P
-from estatelens.operators import roles
-from estatelens.operators.numbering import first_per_group, preview
+from estatelens.operators import graph, refs, roles
+from estatelens.operators.numbering import first_per_group, number_rows, preview
 from estatelens.operators.pages import known_fields
 from estatelens.operators.usage import field_kind
+from estatelens.session import checkpoint
 
 KEYS = ["model_id", "table_name", "part_no"]
 
@@ -117,6 +118,40 @@ def source_impact(estate: Estate, sources: DataFrame) -> DataFrame:
     return joined.select("model_id", "source_key", "table_name", *[F.coalesce(c, zero).alias(c) for c in ("measures", "columns", "visuals", "pages")])
 
 
+def transitive_impact(estate: Estate, sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per physical source everything that breaks without it: tables, measures on them or naming their columns, measures of those measures
+    at any depth, and the visuals and pages that show any of these measures or a column of the tables.
+
+    Sources are numbered and travel as bits, so no (source, measure) pairs are formed: a measure, a visual or a page holds one number
+    for 64 sources.
+    """
+    tables = checkpoint(source_tables(sources).select("model_id", "source_key", "table_name").distinct())
+    numbered = number_rows(tables.select("model_id", "source_key").distinct(), ["model_id"], [F.col("source_key")], "_no")
+    numbered = checkpoint(numbered.select("model_id", "source_key", (F.col("_no") - 1).alias("mark")))
+    bit = F.expr("shiftleft(1L, cast(mark % 64 as int)) as bits")
+    either = F.bit_or("bits").alias("bits")
+    placed = tables.join(numbered, ["model_id", "source_key"]).select("model_id", "table_name", F.floor(F.col("mark") / 64).alias("word"), bit)
+    on_tables = checkpoint(placed.groupBy("model_id", "table_name", "word").agg(either))
+    homes = estate.measures.select("model_id", "table_name", F.col("name").alias("node"))
+    named = refs.qualified_refs(estate.measures.select("model_id", F.col("name").alias("node"), "body"))
+    touching = homes.unionByName(named.select("model_id", F.col("ref_table").alias("table_name"), "node")).distinct()
+    seeds = checkpoint(touching.join(on_tables, ["model_id", "table_name"]).groupBy("model_id", "node", "word").agg(either))
+    reached = graph.spread(edges, seeds)
+    keys = estate.bindings.select("model_id", field_kind().alias("kind"), "table_name", "field_name", "page_id", "visual_id").distinct()
+    known = checkpoint(keys.join(known_fields(estate), ["model_id", "kind", "table_name", "field_name"], "left_semi"))
+    shown, place = ["model_id", "page_id", "visual_id"], ["model_id", "page_id", "visual_id", "word"]
+    by_measure = known.where("kind = 'measure'").select(*shown, F.col("field_name").alias("node")).distinct().join(reached, ["model_id", "node"])
+    by_column = known.where("kind = 'column'").select(*shown, "table_name").distinct().join(on_tables, ["model_id", "table_name"])
+    visuals = checkpoint(by_measure.select(*place, "bits").unionByName(by_column.select(*place, "bits")).groupBy(*place).agg(either))
+    pages = visuals.groupBy("model_id", "page_id", "word").agg(either)
+    out = numbered.join(tables.groupBy("model_id", "source_key").agg(F.count(F.lit(1)).alias("tables")), ["model_id", "source_key"])
+    sides = {"direct_measures": seeds, "measures": reached, "visuals": visuals, "pages": pages}
+    for name, words in sides.items():
+        out = out.join(graph.marked(words, name), ["model_id", "mark"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select("model_id", "source_key", "tables", *[F.coalesce(name, zero).alias(name) for name in sides])
+
+
 def source_map(estate: Estate, sources: DataFrame, summary: DataFrame) -> DataFrame:
     """Per column of a user table the mode, type and location of its table's first partition."""
     first = first_per_group(

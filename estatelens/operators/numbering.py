@@ -24,6 +24,18 @@ def number_rows(df: DataFrame, group: list[str], order: list[Column], name: str
     return joined.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_part", "_first", "_before")
 
 
+def running_count(df: DataFrame, group: list[str], order: list[Column], flag: Column, name: str) -> DataFrame:
+    """How many rows of the group up to and with each row have ``flag``; ranges and offsets as in :func:`number_rows`, so no group lies in one task."""
+    placed = df.orderBy(*group, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpoint(placed).withColumn("_part", F.shiftright("_at", 33)).withColumn("_flag", flag.cast("long"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = placed.groupBy(*group, "_part").agg(F.sum("_flag").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.sum("_flag").over(Window.partitionBy(*group, "_part").orderBy("_at"))
+    return placed.withColumn("_within", within).join(chunks, [*group, "_part"]).withColumn(name, F.col("_before") + F.col("_within")).drop(
+        "_at", "_part", "_flag", "_before", "_within"
+    )
+
+
 def first_per_group(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group, as an ordered minimum (combines before the shuffle, no window)."""
     rest = [c for c in df.columns if c not in group]

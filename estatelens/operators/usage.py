@@ -15,22 +15,22 @@ def field_kind() -> Column:
     return F.when(F.col("field_type") == "measure", "measure").otherwise("column")
 
 
+def binding_order() -> Column:
+    """Which binding of a field stands for a visual: filter roles last, then by sequence, none at the end; below 2**62."""
+    is_filter = F.coalesce(F.col("role") == "Filter", F.lit(False)).cast("long")
+    return is_filter * F.lit(1 << 61) + F.coalesce("seq", F.lit((1 << 61) - 1))
+
+
 def deduped_bindings(bindings: DataFrame) -> DataFrame:
     """One binding per (field, page, visual): the first non-filter role, else the first binding.
 
-    The order is one number, filter roles last, then by sequence (none at the end): its minimum is a hash aggregate, so rows combine before the
-    shuffle and a hot field never fills one task.  The binding itself then joins by it; of those that tie (references below one object of a visual
-    share their sequence) the smallest by role, field type, visual type and title stands.  Null keys are equal to each other.
+    One ordered minimum, which combines before its only shuffle, so a hot field never fills one task; of those that tie (references below one
+    object of a visual share their sequence) the smallest by role, field type, visual type and title stands.  Null keys are equal to each other.
     """
     keys = ["model_id", "kind", "table_name", "field_name", "page_id", "visual_id"]
     rest = ["seq", "role", "field_type", "visual_type", "title"]
-    is_filter = F.coalesce(F.col("role") == "Filter", F.lit(False)).cast("long")
-    order = is_filter * F.lit(1 << 62) + F.coalesce("seq", F.lit((1 << 62) - 1))
-    keyed = bindings.withColumn("kind", field_kind()).withColumn("_order", order)
-    first = keyed.groupBy(*keys).agg(F.min("_order").alias("_order"))
-    same = [keyed[k].eqNullSafe(first[k]) for k in keys] + [keyed["_order"] == first["_order"]]
-    tied = keyed.join(first, same, "left_semi")
-    one = tied.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_b"))
+    keyed = bindings.withColumn("kind", field_kind())
+    one = keyed.groupBy(*keys).agg(F.min(F.struct(binding_order().alias("_order"), *rest)).alias("_b"))
     return one.select(*keys, *(F.col("_b")[c].alias(c) for c in rest))
 
 
@@ -43,12 +43,11 @@ def with_page_names(bindings: DataFrame, pages: DataFrame) -> DataFrame:
 def field_usage(bindings: DataFrame, page_key: str = "page_id") -> DataFrame:
     """Visuals and pages per bound field.  ``page_key="page_name"`` counts display names (see with_page_names).
 
-    The binding that stands for a visual decides whether the field is a slicer field.  Order and flag are packed into
-    one number, filter roles last, then by sequence, the flag in the lowest bit: its minimum is a hash aggregate, where
-    a minimum over structs would sort the whole fact table.
+    The binding that stands for a visual decides whether the field is a slicer field.  Its order and the flag, in the lowest bit, are one number,
+    whose minimum is a hash aggregate.
     """
-    is_filter, is_slicer = (F.col("role") == "Filter").cast("long"), F.col("visual_type").isin(P.SLICER_TYPES).cast("long")
-    packed = is_filter * F.lit(1 << 62) + F.col("seq") * 2 + is_slicer
+    is_slicer = F.coalesce(F.col("visual_type").isin(P.SLICER_TYPES), F.lit(False)).cast("long")
+    packed = binding_order() * 2 + is_slicer
     keys = ["model_id", field_kind().alias("kind"), "table_name", "field_name", "page_id", "visual_id"]
     if page_key != "page_id":
         keys.append(page_key)

@@ -17,10 +17,17 @@ BASE_TABLES = [
 
 VIEWS: dict[str, str] = {}
 
+# Measures refer to measures where an order's lines say so, and in rings of two to nine parts; every line also is a call of a function.
 VIEWS["e_edges"] = """
-select distinct l1.l_partkey as src, l2.l_partkey as dst
+select l1.l_partkey as src, l2.l_partkey as dst
   from lineitem l1 join lineitem l2 on l1.l_orderkey=l2.l_orderkey and l2.l_linenumber=l1.l_linenumber+1
- where l1.l_quantity>=45 and l2.l_returnflag='R' and l1.l_partkey<>l2.l_partkey"""
+ where l1.l_quantity>=45 and l2.l_returnflag='R' and l1.l_partkey<>l2.l_partkey
+union select a.p_partkey, b.p_partkey
+  from part a join part b on b.p_partkey=cast(floor(a.p_partkey/10) as bigint)*10+(a.p_partkey%10+1)%(2+cast(floor(a.p_partkey/10) as bigint)%8)
+ where cast(floor(a.p_partkey/10) as bigint)%3=1 and a.p_partkey%10<2+cast(floor(a.p_partkey/10) as bigint)%8"""
+
+VIEWS["e_calls"] = """
+select part, @joined('Fn'||n||'(1)', ' + ')@ as calls from (select distinct l_partkey as part, l_linenumber as n from lineitem) c group by part"""
 
 VIEWS["e_refs"] = """
 select src, @joined('[M'||dst||']', ' + ')@ as refs from e_edges group by src"""
@@ -31,7 +38,7 @@ select p_partkey as measure_id, 'M'||p_partkey as name, 'T'||cast(floor(p_partke
   , case when p_partkey%4=0 then '' else '#,0' end as format_string
   , case when p_partkey%2=0 then '' else p_brand end as display_folder
   , case when p_partkey%23=0 then 'EXTERNALMEASURE("R'||p_partkey||' ""x""", INTEGER, "DirectQuery to AS - Model'||(p_partkey%3)||'")'
-    else 'SUM(T'||cast(floor(p_partkey/4) as bigint)||'['||p_type||'])'||coalesce(' + '||refs,'')
+    else 'SUM(T'||cast(floor(p_partkey/4) as bigint)||'['||p_type||'])'||coalesce(' + '||refs,'')||coalesce(' + '||calls,'')
     ||case when p_partkey%5=0 then ' & "[M1] ""x"""' else '' end
     ||case when p_partkey%6=0 then ' + Fn'||(p_partkey%40)||'(1)' else '' end
     ||case when p_partkey%12=0 and p_type in ('PROMO','SMALL') then ' + USERELATIONSHIP(T'||cast(floor(p_partkey/4) as bigint)||'['||p_type||'], T1[id])' else '' end
@@ -39,19 +46,12 @@ select p_partkey as measure_id, 'M'||p_partkey as name, 'T'||cast(floor(p_partke
     ||case when p_partkey%97=0 then chr(10)||'+ ''Gone Table''[X]' else '' end
     ||case when p_partkey%101=0 then chr(10)||'+ [Missing]' else '' end
     ||case when p_partkey%50=0 then repeat(chr(10)||'+ 1',30) else '' end end as body
-  from part left join e_refs on src=p_partkey'''
+  from part left join e_refs on src=p_partkey left join e_calls on part=p_partkey'''
 
 VIEWS["e_columns"] = """
 select distinct 'T'||cast(floor(p_partkey/4) as bigint) as table_name, p_type as name from part
 union select distinct 'T'||cast(floor(p_partkey/4) as bigint), 'id' from part"""
 
-VIEWS["e_bindings"] = """
-select user_id as page_id, hour(ts) as visual_id
-  , case event_type when 'view' then 'slicer' when 'click' then 'barChart' when 'purchase' then 'card' when 'signup' then 'tableEx' else 'textbox' end as visual_type
-  , case when event_type='error' then 'Filter' else event_type end as role
-  , 'M'||(cast(regexp_extract(props,'[0-9]+',0) as bigint)*10+user_id%10) as field_name
-  from events where value>100"""
-
 VIEWS["e_rels"] = """
 select distinct 'T'||cast(floor(src/4) as bigint) as from_table, p_type as from_column, 'T'||cast(floor(dst/4) as bigint) as to_table
   , 'id' as to_column, (src+dst)%4<>0 as is_active
@@ -97,7 +97,7 @@ union all select table_name, 'Year', 'int64', '', false, true, true, false, 'non
 union all select 'Proxy'||s_suppkey, 'Proxy'||s_suppkey, 'string', '', false, false, false, false, '', '', '', '', '' from supplier
 union all select distinct 'CG'||s_nationkey, 'Name', 'string', '', false, false, false, false, '', '', '', '', '' from supplier
 union all select distinct 'CG'||s_nationkey, 'Ordinal', 'int64', 'Item order', false, true, false, false, 'none', '', '', '0', '' from supplier
-union all select 'Param'||c_custkey, 'Param'||c_custkey, 'string', c_mktsegment, false, false, true, true, 'none', '', '', '', '' from customer where c_acctbal<0"""
+union all select 'Param'||c_custkey, 'Param'||c_custkey, 'string', '', false, false, true, true, 'none', '', '', '', '' from customer"""
 
 VIEWS["x_tables"] = """
 select 'T'||k as table_name, case when k%3=0 then '' else 'Holds '||d end as description
@@ -105,7 +105,7 @@ select 'T'||k as table_name, case when k%3=0 then '' else 'Holds '||d end as des
 union all select table_name, '' from x_autodate
 union all select 'Proxy'||s_suppkey, '' from supplier
 union all select 'CG'||s_nationkey, 'Items of nation '||s_nationkey from supplier group by s_nationkey
-union all select 'Param'||c_custkey, 'Picks '||c_mktsegment from customer where c_acctbal<0"""
+union all select 'Param'||c_custkey, case when c_custkey%4=0 then 'Picks '||c_mktsegment else '' end from customer"""
 
 VIEWS["x_rels"] = """
 select min(src*1000000000+dst) as rel_no, from_table, from_column, to_table, to_column, is_active
@@ -115,7 +115,10 @@ select min(src*1000000000+dst) as rel_no, from_table, from_column, to_table, to_
   from (select src, dst, 'T'||cast(floor(src/4) as bigint) as from_table, p_type as from_column, 'T'||cast(floor(dst/4) as bigint) as to_table
           , 'id' as to_column, (src+dst)%4<>0 as is_active
           from e_edges join part on p_partkey=src where cast(floor(src/4) as bigint)<>cast(floor(dst/4) as bigint)) r
- group by from_table, from_column, to_table, to_column, is_active"""
+ group by from_table, from_column, to_table, to_column, is_active
+union all select 900000000000000000+a.c_custkey, 'Param'||a.c_custkey, 'Param'||a.c_custkey, 'Param'||b.c_custkey, 'Param'||b.c_custkey, a.c_custkey%2=1
+  , case when a.c_custkey%3=0 then 'one' else 'many' end, case when a.c_custkey%5=0 then 'many' else 'one' end, 'oneDirection'
+  from customer a join customer b on b.c_custkey=a.c_custkey*10"""
 
 VIEWS["x_expressions"] = """
 select 'DirectQuery to AS - Model'||k as name, 'm' as kind
@@ -153,10 +156,10 @@ select 'T'||cast(floor(c_custkey/4) as bigint), cast(1+c_custkey%4 as int), 'p'|
   , case c_mktsegment
     when 'AUTOMOBILE' then 'let'||chr(10)||'    Source = Sql.Database("srv'||c_nationkey||'.example.com", "db'||(c_custkey%7)||'"),'||chr(10)
       ||'    Nav = Source{[Schema="dbo",Item="Fact'||(c_custkey%50)||'"]}[Data],'||chr(10)
-      ||'    #"Removed Other Columns" = Table.SelectColumns(Nav, {"a", "b", "c", "d", "e", "f'||c_custkey||'"}),'||chr(10)
+      ||'    #"Removed Other Columns" = Table.SelectColumns(Nav, '||repeat('{',case when c_custkey%5=0 then 30 else 1 end)||'"a", "b", "c", "d", "e", "f'||c_custkey||'"'||repeat('}',case when c_custkey%5=0 then 30 else 1 end)||'),'||chr(10)
       ||'    Typed = Table.TransformColumnTypes(#"Removed Other Columns", {{"a", type number}, {"b", type text}})'||chr(10)||'in'||chr(10)||'    Typed'
     when 'BUILDING' then 'let'||chr(10)||'    Source = Sql.Database("srv'||c_nationkey||'.example.com", "db'||(c_custkey%7)||'"),'||chr(10)
-      ||'    Query = Value.NativeQuery(Source, "SELECT ""key"", v FROM t'||c_custkey||' WHERE v > 1", null, [EnableFolding=true])'||chr(10)||'in'||chr(10)||'    Query'
+      ||'    Query = Value.NativeQuery('||repeat('(',case when c_custkey%5=0 then 30 else 0 end)||'Source'||repeat(')',case when c_custkey%5=0 then 30 else 0 end)||', "SELECT ""key"", v FROM t'||c_custkey||' WHERE v > 1", null, [EnableFolding=true])'||chr(10)||'in'||chr(10)||'    Query'
     when 'FURNITURE' then 'let'||chr(10)||'    Source = Csv.Document(File.Contents("C:'||chr(92)||'data'||chr(92)||'n'||c_nationkey||chr(92)||'f'||c_custkey||'.csv")),'||chr(10)
       ||'    Added = Table.AddColumn(Source, "Flag", each [v] > 0),'||chr(10)
       ||'    Grown = Table.ExpandTableColumn(Added, "Extra", {"val"}, {"Extra.val"}),'||chr(10)
@@ -169,7 +172,7 @@ select 'T'||cast(floor(c_custkey/4) as bigint), cast(1+c_custkey%4 as int), 'p'|
   from customer
 union all select 'Proxy'||s_suppkey, cast(0 as int), 'Proxy'||s_suppkey, 'directQuery', 'entity', 'DirectQuery to AS - Model'||(s_suppkey%3), 'entityName: Proxy'||s_suppkey from supplier
 union all select 'CG'||s_nationkey, cast(0 as int), 'CG'||s_nationkey, 'import', 'calculationGroup', '', '' from supplier group by s_nationkey
-union all select 'Param'||c_custkey, cast(0 as int), 'Param'||c_custkey, 'import', 'calculated', '', '{ ("'||c_mktsegment||'", NAMEOF(T0[id]), 0) }' from customer where c_acctbal<0"""
+union all select 'Param'||c_custkey, cast(0 as int), 'Param'||c_custkey, 'import', 'calculated', '', '{ ("'||c_mktsegment||'", NAMEOF(T0[id]), 0) }' from customer"""
 
 VIEWS["x_pages"] = """
 select ''||c_custkey as page_id, c_custkey as page_no
@@ -195,7 +198,13 @@ select event_id, ''||user_id, ''||hour(ts)
   , case event_type when 'view' then 'slicer' when 'click' then 'barChart' when 'purchase' then 'card' when 'signup' then 'tableEx' else 'textbox' end
   , 'Chart '||(hour(ts)%6), case when event_type='error' then 'Filter' else event_type end, case when event_type='purchase' then 'aggregation' else 'column' end
   , 'T'||cast(floor(p_partkey/4) as bigint), case when hour(ts)%5=0 then 'id' else p_type end
-  from events join part on p_partkey=cast(regexp_extract(props,'[0-9]+',0) as bigint)*10+user_id%10 where value>60 and value<=100"""
+  from events join part on p_partkey=cast(regexp_extract(props,'[0-9]+',0) as bigint)*10+user_id%10 where value>60 and value<=100
+union all
+select event_id, ''||user_id, ''||hour(ts)
+  , case event_type when 'view' then 'slicer' when 'click' then 'barChart' when 'purchase' then 'card' when 'signup' then 'tableEx' else 'textbox' end
+  , 'Chart '||(hour(ts)%6), 'Filter', 'column', coalesce(table_name,'Gone Dates'), case when hour(ts)%2=0 then 'Date' else 'Year' end
+  from events left join part on p_partkey=cast(regexp_extract(props,'[0-9]+',0) as bigint)*10+user_id%10 left join x_autodate on s_suppkey=user_id
+ where value<=60 or value<=100 and p_partkey is null"""
 
 # ---- a corpus of reports and models, for the operators that find and pair them -----------------------------------
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from estatelens.operators.messages import MESSAGES
 from estatelens.plans.derived import duckdb_sql
 
 STRIP = r'/\*(?s:.*?)(?:\*/|\z)|//[^\n]*|"[^"]*(?:""[^"]*)*(?:"|\z)'
@@ -195,6 +198,22 @@ V["o_norm"] = "select table_name, name, sha256(trim(regexp_replace(body,'\\s+','
 V["o_dups"] = "select * from (select *, count(*) over (partition by body_hash) as copies from o_norm) d where copies>1"
 V["o_closure"] = "select src, dst from o_edges union select c.src, e.dst from o_closure c join o_edges e on e.src=c.dst"
 V["o_cycles"] = """select (select min(b.dst) from o_closure b join o_closure r on r.src=b.dst and r.dst=b.src where b.src=a.src) as component, a.src as node from o_closure a where a.src=a.dst"""
+V["o_inside"] = "select a.component, e.src, e.dst from o_edges e join o_cycles a on a.node=e.src join o_cycles b on b.node=e.dst and b.component=a.component"
+V["o_walk"] = """select component, component as node, 0 as depth from o_cycles where component=node
+ union select w.component, i.dst, w.depth+1 from o_walk w join o_inside i on i.component=w.component and i.src=w.node
+ where w.depth<(select count(*) from o_cycles c where c.component=w.component) and (w.depth=0 or w.node<>w.component)"""
+V["o_depth"] = "select component, node, min(depth) as depth from o_walk group by component, node"
+V["o_ring"] = "select component, min(depth) as ring_length from o_walk where node=component and depth>0 group by component"
+V["o_parent"] = """select d.component, d.node, d.depth, min(i.src) as parent from o_depth d join o_inside i on i.component=d.component and i.dst=d.node
+ join o_depth u on u.component=d.component and u.node=i.src and u.depth=d.depth-1 group by d.component, d.node, d.depth"""
+V["o_back"] = """select l.component, l.ring_length-1 as depth, min(i.src) as node from o_ring l join o_inside i on i.component=l.component and i.dst=l.component
+ join o_depth u on u.component=i.component and u.node=i.src and u.depth=l.ring_length-1 group by l.component, l.ring_length
+ union select b.component, p.depth-1, p.parent from o_back b join o_parent p on p.component=b.component and p.node=b.node"""
+V["o_hit0"] = """select k.source_key, m.name from o_srckeys k join e_measures m on m.table_name=k.table_name
+ union select k.source_key, q.label from o_srckeys k join o_qual q on q.ref_table=k.table_name"""
+V["o_hit"] = "select source_key, name from o_hit0 union select h.source_key, e.src from o_hit h join o_edges e on e.dst=h.name"
+V["o_hitvis"] = """select h.source_key, b.page_id, b.visual_id from o_hit h join o_known b on b.kind='measure' and b.field_name=h.name
+ union select k.source_key, b.page_id, b.visual_id from o_srckeys k join o_known b on b.kind='column' and b.table_name=k.table_name"""
 V["o_glossary"] = f"""select name, kind, parent, note, {cut('d', 110, 110)} as description, {letter('name')} as letter from (
  select table_name as name, case when is_calc_group then 'Calc group' else 'Table' end as kind, '' as parent, concat_ws(', ', case when is_calc_group then 'calc group' end
    , case when parameter_kind='field' then 'field parameter' end, case when parameter_kind='compositeModelProxy' then 'composite proxy' end, case when is_calculated then 'calculated table' end) as note, description as d
@@ -219,8 +238,15 @@ V["o_lite"] = f"""select m.name, m.table_name, s.status, {dash('m.format_string'
  , regexp_matches(m.body,'{EXTERNAL}') as is_proxy from e_measures m join o_mstatus s on s.name=m.name"""
 V["o_searched"] = """select *, case when lower(name)='m1' then 0 when lower(name) like 'm1%' then 1 else 2 end as match from (
  select 'measure' as kind, table_name, name, status from o_mstatus union all select 'column', table_name, name, status from o_cstatus) f where contains(lower(name),'m1')"""
-V["o_links"] = f"""select 'Measures' as doc, {wiki('dst')} as fragment from o_edges union select 'DataDictionary', {wiki('table_name')} from e_measures union select 'DataDictionary', {wiki('to_table')} from x_rels"""
-V["o_anchors"] = f"""select 'DataDictionary' as doc, {wiki('table_name')} as fragment from o_summary where origin='user' union select 'Measures', {wiki('name')} from e_measures"""
+V["o_headings"] = f"""select 'Measures' as doc, 'measures' as slug, 0 as n union all select 'DataDictionary', 'columns', 0 union all select 'Pages', 'pages', 0 union all select 'Index', 'glossary', 0
+ union all select 'DataDictionary', {wiki('table_name')}, 1 from o_summary where origin='user' union all select 'Pages', {wiki('name')}, row_no from o_pageorder"""
+V["o_targets"] = f"""select doc, slug||case when r=1 then '' else '-'||(r-1) end as fragment, 'heading' as kind from (select *, row_number() over (partition by doc, slug order by n) as r from o_headings) h
+ union all select 'Measures', {wiki('name')}, 'anchor' from e_measures"""
+V["o_doclinks"] = f"""select 'Measures' as doc, 'DataDictionary' as target, {wiki('table_name')} as fragment from e_measures
+ union all select 'Index', case kind when 'Measure' then 'Measures' else 'DataDictionary' end, case kind when 'Column' then {wiki('parent')} else {wiki('name')} end
+   from o_glossary where kind in ('Table','Calc group','Measure','Column')
+ union all select 'Pages', case kind when 'measure' then 'Measures' else 'DataDictionary' end, case kind when 'measure' then {wiki('field_name')} else {wiki('table_name')} end
+   from o_bound where page_id in (select page_id from x_pages) and (kind='measure' or not regexp_matches(table_name,'^(LocalDateTable_|DateTableTemplate_)'))"""
 
 # ---- oracles ----------------------------------------------------------------------------------------------------
 
@@ -255,7 +281,7 @@ O["s09_formatting_bindings"] = f"select {_BOUND} from o_listed"
 O["s10_field_references"] = "select field_type, table_name, field_name, count(*) as bindings from o_listed group by field_type, table_name, field_name"
 O["s11_json_columns"] = "select * from x_columns"
 O["s11_json_measures"] = "select table_name, name, body, format_string, description, display_folder from e_measures"
-O["s11_json_partitions"] = "select table_name, name, mode, kind, case when kind='entity' and expression_source='' then m_body else expression_source end as expression_source, m_body from x_partitions where table_name in (select table_name from x_columns)"
+O["s11_json_partitions"] = "select table_name, name, mode, kind, case when kind='entity' and expression_source='' then m_body else expression_source end as expression_source, m_body from x_partitions"
 O["s11_json_relationships"] = "select from_table, from_column, to_table, to_column, is_active, from_card, to_card, cross_filter from x_rels"
 O["s12_text_relationships"] = "select row_number() over (partition by from_table, to_table order by rel_no)-1 as rel_no, from_table, from_column, to_table, to_column, is_active, from_card, to_card, cross_filter from x_rels"
 O["s13_text_tables"] = "select table_name, description from x_tables where table_name in (select table_name from x_columns union select table_name from e_measures)"
@@ -409,6 +435,7 @@ O["r03_dead_chains"] = "select name from o_mstatus where status<>'unused' and na
 O["r03_dead_chains_given_status"] = "select name from o_mstatus where name not in (select name from o_reach)"
 O["r04_orphans"] = "select table_name, name, case when name in (select dst from o_edges) then 'chain' else 'pure' end as orphan from o_mstatus where status='unused'"
 O["r05_cycle_members"] = "select * from o_cycles"
+O["r05_cycle_paths"] = """select t.component, t.depth as step_no, t.node, l.ring_length from o_back t join o_ring l on l.component=t.component"""
 O["r06_lineage"] = """select 'measure' as entity_kind, table_name||'['||measure||']' as entity, 'upstream' as direction, 'function' as related_kind, "function" as related from o_mfn
  union all select 'measure', table_name||'['||name||']', 'upstream', 'remote model', external_model from o_ext
  union all select 'measure', table_name||'['||name||']', 'upstream', 'table', table_name from e_measures
@@ -418,6 +445,10 @@ O["r06_lineage"] = """select 'measure' as entity_kind, table_name||'['||measure|
  union all select 'column', c.table_name||'['||c.name||']', 'feeds', 'measure', m.table_name||'['||m.name||']' from o_qual q join x_columns c on c.table_name=q.ref_table and c.name=q.ref_column join e_measures m on m.name=q.label
  union all select kind, table_name||'['||field_name||']', 'downstream', 'visual', page_id||'/'||visual_id from o_known"""
 O["r07_table_roles"] = "select table_name, role, outgoing, incoming from o_summary"
+O["r08_transitive_impact"] = """select source_key, count(*) as tables
+ , (select count(distinct name) from o_hit0 h where h.source_key=k.source_key) as direct_measures, (select count(*) from o_hit h where h.source_key=k.source_key) as measures
+ , (select count(*) from o_hitvis v where v.source_key=k.source_key) as visuals, (select count(distinct page_id) from o_hitvis v where v.source_key=k.source_key) as pages
+ from o_srckeys k group by source_key"""
 O["r08_source_impact"] = """select k.source_key, k.table_name, (select count(*) from e_measures m where m.table_name=k.table_name) as measures, (select count(*) from x_columns c where c.table_name=k.table_name) as columns
  , coalesce(b.v,0) as visuals, coalesce(b.p,0) as pages from o_srckeys k left join (select table_name, count(distinct (page_id,visual_id)) as v, count(distinct page_id) as p from o_known group by table_name) b on b.table_name=k.table_name"""
 
@@ -461,6 +492,18 @@ FINDINGS = {
 }
 O.update(FINDINGS)
 V["o_findings"] = "\n union all ".join(f"({text})" for text in FINDINGS.values())
+def said(template: str) -> str:
+    """A message's template as SQL over the columns n and e."""
+    words = re.sub(r"\{([ne])\|([^|}]*)\|([^}]*)\}", r"'||case when \1=1 then '\2' else '\3' end||'", template.replace("'", "''"))
+    return "'" + re.sub(r"\{([ne])\}", r"'||\1||'", words) + "'"
+
+
+def texts(field: str) -> str:
+    return "case check_id " + " ".join(f"when '{c}' then {said(getattr(m, field))}" for c, m in MESSAGES.items()) + f" end as {field}"
+
+
+O["a25_finding_texts"] = f"""select severity, check_id, n as "rows", e as entities, {', '.join(texts(f) for f in ('title', 'summary', 'rationale', 'see'))}
+ from (select severity, check_id, count(*) as n, count(distinct entity) as e from ({' union all '.join(FINDINGS.values())}) f group by severity, check_id) g"""
 O["a25_severity_summary"] = """select severity, count(distinct check_id) as checks, count(*) as rows
  , not exists (select 1 from o_findings f where f.severity in ('high','medium','low')) as is_clean
  , case severity when 'high' then 0 when 'medium' then 1 when 'low' then 2 when 'info' then 3 else 4 end as severity_order from o_findings group by severity"""
@@ -500,7 +543,10 @@ O["d10_documents_per_mode"] = """select doc, mode from (values ('Model',true),('
 O["d11_usage_tiles"] = """select measures_direct+columns_direct as direct, measures_indirect+columns_indirect as indirect, measures_unused+columns_unused as unused, pages, (select count(*) from x_pages where not hidden) as visible, (select count(*) from x_pages where hidden) as hidden_pages, visuals from o_totals"""
 O["d13_er_edges"] = """select from_table, case from_card||to_card when 'oneone' then '||--||' when 'manyone' then '}o--||' when 'onemany' then '||--o{' else '}o--o{' end as glyph, to_table
  , from_column||case when cross_filter='bothDirections' then '_bidi' when not is_active then '_inactive' else '' end as label from x_rels where from_table in (select table_name from o_er) and to_table in (select table_name from o_er)"""
-O["d14_broken_links"] = "select * from o_links l where fragment='' or not exists (select 1 from o_anchors a where a.doc=l.doc and a.fragment=l.fragment)"
+O["d14_link_targets"] = "select * from o_targets"
+O["d14_links"] = "select doc, target, fragment, count(*) as links from o_doclinks group by all"
+O["d14_broken_links"] = """select doc, target, fragment, 'no such anchor' as reason, count(*) as links from o_doclinks l
+ where not exists (select 1 from o_targets t where t.doc=l.target and t.fragment=l.fragment) group by all"""
 
 O["k01_csv_measures"] = """select m.name as "Measure", m.table_name as "Table", s.status as "Status", s.usage_count as "Usage Count", s.page_count as "Page Count", m.display_folder as "Display Folder", m.format_string as "Format String", m.description as "Description", m.body as "DAX"
  from e_measures m join o_mstatus s on s.name=m.name where s.status='unused' and (contains(lower(m.name),'re') or contains(lower(m.table_name),'re') or contains(lower(m.body),'re') or contains(lower(m.description),'re'))"""
@@ -515,6 +561,11 @@ O["k01_csv_columns"] = f"""select c.name as "Column", c.table_name as "Table", c
 O["k01_csv_relationships"] = f"""select from_table as "From Table", from_column as "From Column", to_table as "To Table", to_column as "To Column", from_card as "From Cardinality", to_card as "To Cardinality", cross_filter as "Cross Filter", {yn('is_active')} as "Active" from x_rels"""
 O["k01_csv_source_map"] = f"""select "column" as "Column", table_name as "Table", data_type as "Data Type", mode as "Mode", source_type as "Source Type", source_location as "Source Location", {yn('is_hidden')} as "Hidden", {yn('is_calculated')} as "Calculated" from o_srcmap"""
 O["k03_markdown_measures"] = f"select name, '| '||{cell('name')}||' | '||{cell('table_name')}||' | '||{cell('status')}||' | '||{cell('format')}||' | '||{cell('description')}||' |' as line from o_lite"
+O["k03_document_files"] = f"""select doc, line, count(*) as times, cast(1 as bigint) as files from (
+ select 'Measures' as doc, unnest(['## Measures', '', '| Name | Table | Status | Format | Description |', '|---|---|---|---|---|']) as line
+ union all select 'Measures', '| <a id="'||{wiki('name')}||'"></a>'||{cell('name')}||' | ['||{cell('table_name')}||'](DataDictionary.md#'||{wiki('table_name')}||') | '||{cell('status')}||' | '||{cell('format')}||' | '||{cell('description')}||' |' from o_lite
+ union all select 'Functions', unnest(['## Functions', '', '| Function | Signature | Parameters | Used by |', '|---|---|---|---|'])
+ union all select 'Functions', '| '||{cell('name')}||' | '||{cell('signature')}||' | '||parameters||' | '||used_by||' |' from ({O["d03_functions"]}) f) d group by doc, line"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,10 +13,10 @@ from estatelens.estate import Estate
 from estatelens.functions import etl, text
 from estatelens.functions import patterns as P
 from estatelens.operators import audit as rules
-from estatelens.operators import graph, impact, lineage, pages, refs, roles, usage
+from estatelens.operators import graph, impact, lineage, links, messages, pages, refs, roles, usage
 from estatelens.operators.numbering import capped, first_per_group, number_rows
-from estatelens.plans import render, reports
-from estatelens.session import checkpoint, tune
+from estatelens.plans import documents, render, reports
+from estatelens.session import checkpoint, checkpoint_folder, tune
 from estatelens.sinks import csv
 from estatelens.sinks import markdown as md
 from estatelens.sources import bim, blocks, files, project, report
@@ -73,6 +74,14 @@ class Context:
     def audit(self) -> rules.Audit:
         return rules.Audit(self.s)
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return checkpoint(self.audit.findings())  # read twice by what follows
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        return checkpoint(documents.linked_documents(self.s, self.mstatus, self.summary))
+
     @cached_property
     def fields(self) -> DataFrame:
         return lineage.searchable(self.mstatus, self.cstatus)
@@ -342,9 +351,11 @@ Q["r03_dead_chains_given_status"] = lambda c: graph.dead_chains(
 ).select("name")
 Q["r04_orphans"] = lambda c: usage.orphans(c.mstatus, c.edges)
 Q["r05_cycle_members"] = lambda c: graph.cycles(c.edges).select("component", "node")
+Q["r05_cycle_paths"] = lambda c: graph.rings(c.edges)
 Q["r06_lineage"] = lambda c: lineage.lineage_edges(c.s, edges=c.edges)
 Q["r07_table_roles"] = lambda c: c.summary.select("table_name", "role", "outgoing", "incoming")
 Q["r08_source_impact"] = lambda c: impact.source_impact(c.s, c.sources)
+Q["r08_transitive_impact"] = lambda c: impact.transitive_impact(c.s, c.sources, c.edges)
 
 # ---- A: audit ---------------------------------------------------------------------------------------------------
 
@@ -357,7 +368,8 @@ AUDIT_NAMES = {
 }
 for _check, _name in AUDIT_NAMES.items():
     Q[f"a{int(_check[1:]):02d}_{_name}"] = lambda c, check=_check: c.audit.findings(check).select("severity", "check_id", "entity", "detail")
-Q["a25_severity_summary"] = lambda c: rules.severity_summary(c.audit.findings())
+Q["a25_severity_summary"] = lambda c: rules.severity_summary(c.findings)
+Q["a25_finding_texts"] = lambda c: messages.described(c.findings)
 
 # ---- D: report tables -------------------------------------------------------------------------------------------
 
@@ -376,11 +388,13 @@ Q["d05_hierarchies"] = lambda c: reports.hierarchy_levels(c.e.hierarchies)
 Q["d06_source_report"] = lambda c: reports.source_report(c.summary, c.sources)
 Q["d06_raw_bodies"] = lambda c: impact.raw_bodies(c.resolved)
 Q["d07_visual_bindings"] = lambda c: reports.visual_bindings(c.e)
-Q["d09_shown_findings"] = lambda c: rules.shown_findings(c.audit.findings())
+Q["d09_shown_findings"] = lambda c: rules.shown_findings(c.findings)
 Q["d10_documents_per_mode"] = lambda c: reports.emitted_documents(c.e)
 Q["d11_usage_tiles"] = lambda c: reports.usage_tiles(usage.totals(c.s, c.mstatus, c.cstatus), pages.page_totals(c.page_summary))
 Q["d13_er_edges"] = lambda c: roles.er_edges(c.s.relationships, reports.er_tables(c.summary))
-Q["d14_broken_links"] = lambda c: reports.broken_links(reports.links(c.s, refs.dependencies(c.s.measures)), reports.anchors(c.summary, c.s.measures))
+Q["d14_broken_links"] = lambda c: links.broken(c.linked)
+Q["d14_link_targets"] = lambda c: links.targets(links.unfenced(c.linked))
+Q["d14_links"] = lambda c: links.references(links.unfenced(c.linked)).groupBy("model_id", "doc", "target", "fragment").agg(F.count(F.lit(1)).alias("links"))
 
 # ---- K: sinks (the rows they write) -----------------------------------------------------------------------------
 
@@ -391,6 +405,17 @@ Q["k01_csv_source_map"] = lambda c: csv.source_map_rows(impact.source_map(c.s, c
 Q["k03_markdown_measures"] = lambda c: reports.measures_lite(c.s, c.mstatus).select(
     "name", md.table_row(col("name"), col("table_name"), col("status"), col("format"), col("description")).alias("line")
 )
+Q["k03_document_files"] = lambda c: written_documents(c, documents.measures_doc(c.s, c.mstatus, linked=True).unionByName(documents.functions_doc(c.e)))
+
+
+def written_documents(c: Context, lines: DataFrame) -> DataFrame:
+    """The documents written to the shared folder and read back, line by line, with the number of files each takes."""
+    folder = f"{checkpoint_folder(c.spark)}/markdown-{uuid.uuid4().hex}"
+    md.write_markdown(lines, folder)
+    back = c.spark.read.option("recursiveFileLookup", "true").text(folder).select("value", F.input_file_name().alias("_file"))
+    doc = F.regexp_extract("_file", r"([^/]+)\.md$", 1)
+    files = back.select(doc.alias("doc"), "_file").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("files"))
+    return back.select(doc.alias("doc"), F.col("value").alias("line")).groupBy("doc", "line").agg(F.count(F.lit(1)).alias("times")).join(files, "doc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -142,8 +142,11 @@ def bim_files(e: Estate) -> DataFrame:
         e.partitions.groupBy("table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("part_no", partition.alias("p")))), lambda x: x["p"]).alias("partitions")),
         e.relationships.groupBy(col("from_table").alias("table_name")).agg(F.collect_list(relation).alias("_relations")),
     ]
-    joined = sides[0]
+    joined = sides[0].select("table_name")
     for side in sides[1:]:
+        joined = joined.union(side.select("table_name"))
+    joined = joined.distinct()
+    for side in sides:
         joined = joined.join(side, "table_name", "left")
     table = F.struct(col("table_name").alias("name"), "columns", "measures", "partitions")
     model = F.struct(F.struct(col("table_name").alias("name"), F.array(table).alias("tables"), col("_relations").alias("relationships")).alias("model"))

@@ -316,26 +316,3 @@ def emitted_documents(estate: Estate) -> DataFrame:
     optional = [d for d, (_, skip) in DOCUMENTS.items() if skip]
     kept = listed.where(F.col("doc").isin(optional)).join(filled, ["model_id", "doc"], "left_semi")
     return listed.where(~F.col("doc").isin(optional)).unionByName(kept)
-
-
-def anchors(summary: DataFrame, measures: DataFrame) -> DataFrame:
-    """Link targets the documents define: a heading per user table, an anchor per measure."""
-    tables = summary.where(F.col("origin") == "user")
-    return tables.select("model_id", F.lit("DataDictionary").alias("doc"), text.wiki_slug(F.col("table_name")).alias("fragment")).union(
-        measures.select("model_id", F.lit("Measures"), text.wiki_slug(F.col("name")))
-    ).distinct()
-
-
-def links(estate: Estate, edges: DataFrame) -> DataFrame:
-    """Links the documents make: dependencies to measures, measures and foreign keys to tables."""
-    return (
-        edges.select("model_id", F.lit("Measures").alias("doc"), text.wiki_slug(F.col("dst")).alias("fragment"))
-        .union(estate.measures.select("model_id", F.lit("DataDictionary"), text.wiki_slug(F.col("table_name"))))
-        .union(estate.relationships.select("model_id", F.lit("DataDictionary"), text.wiki_slug(F.col("to_table"))))
-        .distinct()
-    )
-
-
-def broken_links(links_df: DataFrame, anchors_df: DataFrame) -> DataFrame:
-    """Links without a target, or with an empty one."""
-    return links_df.where(F.col("fragment") == "").union(links_df.where(F.col("fragment") != "").join(anchors_df, ["model_id", "doc", "fragment"], "left_anti"))

@@ -50,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
