@@ -31,7 +31,9 @@ from estatelens.llm.common import slices
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a task's table of words already encoded; it is begun anew when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Characters encoded at a time.
+WINDOW = 1 << 16
 #: Bits of an id in a pair's key.
 ID_BITS = 20
 #: White_Space of Unicode; Python's own split also takes \x1c-\x1f.
@@ -211,6 +213,16 @@ class Encoder:
         for word in WORD.findall(piece.lower()):
             ids.extend(self.word(word))
 
+    def stream(self, text: str, size: int = WINDOW) -> Iterator[list[int]]:
+        """Ids of the text as they settle, a window of some ``size`` characters at a time: none reaches over white space, and longer words go through the transducer."""
+        at = 0
+        while at < len(text):
+            gap = GAPS.search(text, at + size)
+            end = gap.end() if gap else len(text)
+            if ids := self.encode(text[at:end]):
+                yield ids
+            at = end
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         known, encode, add = self.chunks.get, self.chunk, ids.extend
@@ -293,7 +305,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts are encoded and their ids decoded again in one pass, without keeping either."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: ids leave the encoder window by window into the running digests and the decoder, none is kept."""
     file = path or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +314,14 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for part in slices(batches, "text"):
             sizes, ids_sha, decoded_sha = [], [], []
             for text in _texts(part):
-                ids = encoder(file).encode(text)
-                plain.begun = False
-                sizes.append(len(ids))
-                ids_sha.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
-                decoded_sha.append(hashlib.sha256(plain.feed(ids)).hexdigest())
+                n, own, back, plain.begun = 0, hashlib.sha256(), hashlib.sha256(), False
+                for ids in encoder(file).stream(text):
+                    own.update((b" " if n else b"") + b" ".join(map(decimal.__getitem__, ids)))
+                    back.update(plain.feed(ids))
+                    n += len(ids)
+                sizes.append(n)
+                ids_sha.append(own.hexdigest())
+                decoded_sha.append(back.hexdigest())
             columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

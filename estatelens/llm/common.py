@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from estatelens.session import ensure_checkpoint_dir
 
 #: Texts are worked on in slices of this many bytes, so that a batch of very long texts needs no more memory than one of short ones.
 SLICE_BYTES = 8 * 1024 * 1024
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +32,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage ends there, and later reads prune columns."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._settled = path
+    return made
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that no frame still to be computed reads, and let go of the shuffle files of ended jobs."""
+    for df in settled:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df._settled)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    if settled:  # Spark's cleaner removes shuffles once the driver has collected what refers to them
+        gc.collect()
+        settled[0].sparkSession._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds what one Arrow batch of texts takes, on both sides, whatever their lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    return spark
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Positions scored together; bounds a task's memory whatever the texts' lengths.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 class ContextTable:
@@ -133,9 +133,26 @@ def whole(packed: np.ndarray, size: int) -> np.ndarray:
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte with the ``depth`` bytes before it (0 before a text's start), packed with the latest lowest, and how often."""
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Each byte with the ``depth`` bytes before it (0 before a text's start), packed with the latest lowest, and how often.
+
+    Texts are counted in pieces of some BLOCK bytes, whose counts are added up, so that memory goes with the distinct ones.
+    """
+    kinds, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[bytes] = []
+    size = 0
+    for text in (*texts, None):
+        if held and (text is None or size + len(text) > 4 * BLOCK):
+            new, n = _counted(held, depth)
+            kinds, place = np.unique(np.concatenate([kinds, new]), return_inverse=True)
+            times = np.bincount(place, np.concatenate([times, n])).astype(np.int64)
+            held, size = [], 0
+        if text is not None:
+            held.append(text)
+            size += len(text)
+    return kinds, times
+
+
+def _counted(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     pad = b"\0" * depth
     raw = np.frombuffer(pad + pad.join(texts), np.uint8).astype(np.int64)
     packed = np.zeros(len(raw) - depth, np.int64)

@@ -7,7 +7,7 @@ aren't judged by a few letters.  It is rejected outside the band between two qua
 widened by SLACK: above lies what no trusted text looks like, below what repeats itself.
 
 A model of up to MAX_SHARED n-grams goes to every task as a table; beyond, ``bits_by_joins`` looks the corpus's distinct n-grams up in the
-sharded tables and joins them to each row's instead, with the same results.
+sharded tables and joins them to each row's instead, with exactly the same results.
 
 Defined results: null and empty texts have no bits and are rejected (nothing to learn from); null or rare languages use the quantiles of all
 trusted documents; without trusted documents nothing is rejected but texts without content; repeated rows get equal results; an empty table
@@ -16,6 +16,7 @@ gives an empty one; other columns pass through untouched.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from estatelens.llm.common import as_bytes, settle, slices
 from estatelens.llm.contexts import ContextTable, GramTable, grams, whole
@@ -36,6 +36,7 @@ MAX_IDS = 1_000_000
 #: Quantiles of trusted documents' measure between which documents stay, and what they are widened by, in bits a byte.
 LOWEST, HIGHEST, SLACK = 0.002, 0.998, 0.10
 SMOOTH = 800
+STEPS = 4096
 #: A language with fewer trusted documents uses the quantiles of all.
 LEAST_TRUSTED = 200
 
@@ -54,6 +55,11 @@ def _low(column: Column | str, n: int) -> Column:
     return F.col(column).bitwiseAND(F.lit((1 << 8 * n) - 1)) if isinstance(column, str) else column.bitwiseAND(F.lit((1 << 8 * n) - 1))
 
 
+def _stepped(bits: Column) -> Column:
+    """Bits in steps of 1/STEPS: sums of such numbers are exact in any order, and so in float32 for one n-gram, so the table and the joins agree bit by bit."""
+    return F.round(bits * STEPS) / STEPS
+
+
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """``(gram, n)`` of ``texts (text)``."""
 
@@ -84,8 +90,9 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
             lower = below.withColumnsRenamed({"gram": "suffix", "p": "_p"})
             chance = share.withColumn("suffix", _low("gram", k - 1)).join(lower, "suffix").select("gram", (F.col("own") + F.col("gamma") * F.col("_p")).alias("p"))
         below = settle(chance, "chances")
-        probs.append(below.select(F.lit(k).alias("order"), "gram", (-F.log2("p")).alias("bits")))
-        backoffs.append(totals.select(F.lit(k).alias("order"), "context", (-F.log2(F.greatest(F.col("left") / F.col("total"), F.lit(1e-9)))).alias("bits")))
+        probs.append(below.select(F.lit(k).alias("order"), "gram", _stepped(-F.log2("p")).alias("bits")))
+        escape = -F.log2(F.greatest(F.col("left") / F.col("total"), F.lit(1e-9)))
+        backoffs.append(totals.select(F.lit(k).alias("order"), "context", _stepped(escape).alias("bits")))
     all_probs, all_backoffs = probs[0], backoffs[0]
     for p, b in zip(probs[1:], backoffs[1:], strict=True):
         all_probs, all_backoffs = all_probs.unionByName(p), all_backoffs.unionByName(b)
@@ -285,12 +292,12 @@ def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return docs.join(kept, same, "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(classifier.table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            texts = as_bytes(part.column("text"))
-            made = [*part.columns, pa.array(shared.value.totals(texts)[:, 0]), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(made, [*part.schema.names, "_bits", "_size"])
+    # Rows stay where they are; their texts go out and one number each comes back.
+    @F.arrow_udf("double")
+    def total_bits(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(shared.value.totals(as_bytes(part.column("text")))[:, 0] for part in slices(iter([batch]), "text"))]))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_bits", T.DoubleType()), T.StructField("_size", T.LongType())])
-    scored = docs.mapInArrow(run, schema)
-    return scored.where(stays(F.col("_bits"), F.col("_size"), F.col("lang"), classifier.bands)).select(*names)
+    own = f"_bits_{uuid.uuid4().hex}"  # a name that no column of the input has
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    return docs.withColumn(own, total_bits("text")).where(stays(F.col(own), size, F.col("lang"), classifier.bands)).select(*names)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatelens.llm import bpe, chat, decontamination, html, jaccard, language, licenses, neighbours, periods, pii, quality, token_files, whitening
-from estatelens.llm.common import table
+from estatelens.llm import bpe, chat, decontamination, html, jaccard, language, licenses, neighbours, periods, pii, quality, stages, token_files, whitening
+from estatelens.llm.common import small_batches, table
 from estatelens.session import tune
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -79,7 +78,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     """The session's settings, and this package on the path of local workers that were started elsewhere."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tune(spark)
+        small_batches(tune(spark))
         paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
         if ROOT not in paths:
             spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [ROOT, *paths]))
@@ -93,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_language_id, op2_nearest_neighbours, op3_bpe_round_trip, op4_chat_format, op5_quality, op6_decontamination, op7_license_scan,
         op8_personal_data, op9_token_files, op10_jaccard_join, op11_embedding_whitening, op12_html_text, op13_periodic_runs,
     ]
-    return {f.__name__: _ready(f) for f in every} | {"pipeline": _ready(corpus_pipeline.run)}
+    return {f.__name__: _ready(f) for f in every} | {"pipeline": _ready(stages.run)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -150,6 +149,4 @@ from documents d left join sizes using (doc_id) join (select a, min(b) as compon
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": _CHAT, "op6_decontamination": _WINDOWS, "op10_jaccard_join": _JACCARD} | (
-        {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    )
+    return {"op4_chat_format": _CHAT, "op6_decontamination": _WINDOWS, "op10_jaccard_join": _JACCARD}

@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -30,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.llm.bpe import GAPS, ODD_SPACE, SIMPLE, TOKENIZER, encoder
+from estatelens.llm.bpe import GAPS, ODD_SPACE, SIMPLE, TOKENIZER
 from estatelens.llm.common import settle, shared_path, slices
 
 END_ID = 2
 #: A file is closed when its ids take this many bytes.
 FILE_BYTES = 32 * 1024 * 1024
-#: Entries of a task's table of encoded pieces; it is begun anew when full.
-REMEMBERED = 600_000
+#: Entries of a worker's table of encoded pieces.
+REMEMBERED = 300_000
 #: Texts whose ids are made together.
 TOGETHER = 2_000
 SAMPLE = 64
@@ -168,27 +169,67 @@ def library(path: str):
     return made
 
 
+class Recent(dict):
+    """A table of two generations: when the newer one is full it becomes the older one, so entries in use stay."""
+
+    def __init__(self, most: int):
+        self.half, self.before = most // 2, {}
+
+    def turn(self) -> None:
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+
+    def found(self, key: str) -> bytes | None:
+        got = self.get(key)
+        if got is None and (got := self.before.get(key)) is not None:
+            self[key] = got
+        return got
+
+
 class Pieces:
-    """Ids of texts as bytes.  No token reaches over white space, so each piece between is encoded once and remembered: simple ones, letters and
-    signs of Latin-1, by ``bpe.Encoder``, which gives what the library gives, all others by the library itself."""
+    """Ids of texts as bytes, from the tokenizers library.  No token reaches over white space, so each piece between is encoded once and remembered; of a
+    simple piece (bpe.SIMPLE) neither do they reach from its letters, which count in lower case, to its signs, so these are what the library gets."""
 
     def __init__(self, path: str, width: int, remembered: int = REMEMBERED):
-        self.library, self.own, self.kind, self.remembered = library(path), encoder(path), f"<u{width}", remembered
-        self.known: dict[str, bytes] = {}
+        self.library, self.kind = library(path), f"<u{width}"
+        self.known, self.parts = Recent(remembered), Recent(remembered)
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        self.known.turn()
+        self.parts.turn()
+        made = [self.known.found(p) for p in pieces]
+        cut = {}
+        for piece in (p for p, ids in zip(pieces, made, strict=True) if ids is None):
+            simple = SIMPLE.fullmatch(piece)
+            cut[piece] = (simple[1].lower(), simple[2]) if simple else (piece, "")
+        parts = [x for x in set().union(*cut.values()) if x and self.parts.found(x) is None]
+        for part, got in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.parts[part] = np.array(got.ids, self.kind).tobytes()
+        own = self.parts
+        own[""] = b""
+        for piece, (a, b) in cut.items():
+            self.known[piece] = (own[a] + own[b]) if a and b else own[a or b]
+        return [self.known[p] if ids is None else ids for p, ids in zip(pieces, made, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [GAPS.split(x) if ODD_SPACE.search(x) else x.split() for x in texts]
-        if len(self.known) >= self.remembered:
-            self.known.clear()
-        known, other = self.known, []
-        for piece in {p for pieces in cut for p in pieces if p not in known}:
-            if SIMPLE.fullmatch(piece):
-                known[piece] = np.array(self.own.piece(piece), self.kind).tobytes()
-            else:
-                other.append(piece)
-        for piece, made in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[piece] = np.array(made.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        coded = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        ids = self._of_pieces(coded.dictionary.to_pylist())
+        at, width = coded.indices.to_numpy(zero_copy_only=False), np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        starts, n = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(n)
+        pool = np.frombuffer(b"".join(ids), self.kind)
+        line = pool[np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in cut])])]
+        return [line[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
+
+
+@lru_cache(maxsize=1)
+def pieces_of(path: str, width: int) -> Pieces:
+    """A worker's table, kept from task to task."""
+    return Pieces(path, width)
 
 
 def write_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -200,7 +241,7 @@ def write_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     width = 2 if library(file).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, writer, made = Pieces(file, width), IdWriter(folder, width), []
+        pieces, writer, made = pieces_of(file, width), IdWriter(folder, width), []
         last = int(end_id).to_bytes(width, "little")
         for batch in slices(batches, "text"):
             for start in range(0, batch.num_rows, TOGETHER):
