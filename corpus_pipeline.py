@@ -1,60 +1,14 @@
 """From raw documents to token ids: quality, near duplicates, benchmark passages, personal data, BPE.
 
-Each stage reads what its predecessor kept, is written as Parquet in the shared folder and read back as the next one's input, so a lost executor
-costs part of one stage.  All but the last keep the columns of ``documents``.
+The stages themselves are in ``estatelens.llm.stages``.  Each reads what its predecessor kept, is written as Parquet in the shared folder and read back as
+the next one's input, so a lost executor costs part of one stage.  All but the last keep the columns of ``documents``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from estatelens.llm import bpe, decontamination, jaccard, pii, quality
-from estatelens.llm.common import settle, table
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier, trained on those labelled good, rejects."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, a similarity of 0.8."""
-    return jaccard.keep_one(docs)
-
-
-def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of the benchmark."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
-    return pii.redact(docs)
-
-
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digests of each text's ids and of what they decode to."""
-    return bpe.round_trip(docs)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality", good_quality),
-    ("near_duplicates", one_of_each),
-    ("decontamination", without_benchmark),
-    ("personal_data", without_personal_data),
-    ("bpe", token_ids),
-]
+from estatelens.llm.stages import STAGES, run
 
 #: Training and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
