@@ -188,7 +188,7 @@ def rings(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
     keys = ["model_id", "component"]
     members = checkpoint(cycles(edges) if members is None else members)
     ends = members.withColumnRenamed("node", "src"), members.withColumnsRenamed({"node": "dst", "component": "_c"})
-    both = edges.select("model_id", "src", "dst").distinct().join(ends[0], ["model_id", "src"]).join(ends[1], ["model_id", "dst"])
+    both = edges.where(F.col("src") != F.col("dst")).select("model_id", "src", "dst").distinct().join(ends[0], ["model_id", "src"]).join(ends[1], ["model_id", "dst"])
     inside = checkpoint(both.where(F.col("component") == F.col("_c")).select(*keys, "src", "dst"))
     start = members.select(*keys, F.col("component").alias("node")).distinct()
     frontier, n, size = _settle(start.withColumns({"parent": F.lit(None).cast("string"), "depth": F.lit(0)}))
