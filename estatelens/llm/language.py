@@ -30,6 +30,7 @@ LEARN_DOCS = 1_500
 #: N-grams whose costs are worked out together; bounds working memory, not what is kept.
 BLOCK_GRAMS = 65_536
 UNKNOWN = "und"
+LEADING_BITS = 12
 
 
 class LanguageModel:
@@ -51,8 +52,16 @@ def learn(labelled: DataFrame, depth: int = DEPTH, docs: int = LEARN_DOCS) -> La
     Counting runs in tasks; what is collected are the sample's distinct contexts.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs).select("doc_id").distinct()
+    rank = F.xxhash64(F.col("doc_id").cast("string"))
+    ids = known.select("doc_id", "lang", rank.alias("_h"))
+    # Counts by language and leading bits of the hash tell up to which bits it takes; only those few rows are ranked, also of a language with a third of all.
+    bits = F.shiftright("_h", 64 - LEADING_BITS)
+    sizes = ids.groupBy("lang", bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = sizes.withColumn("_upto", F.sum("_n").over(Window.partitionBy("lang").orderBy("_bits")))
+    edge = upto.where(F.col("_upto") >= docs).groupBy("lang").agg(F.min("_bits").alias("_edge"))
+    some = ids.join(edge, "lang", "left").where(F.col("_edge").isNull() | (bits <= F.col("_edge")))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    chosen = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs).select("doc_id").distinct()
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

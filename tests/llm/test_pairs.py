@@ -75,11 +75,13 @@ def nearest(rows, queries, k):
 def test_neighbours_recall(small):
     vectors = small("embeddings")
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    found = neighbours.search(vectors, F.col("vec_id") % 10 == 0).collect()
+    verified = vectors.sparkSession.sparkContext.accumulator(0)
+    found = neighbours.search(vectors, F.col("vec_id") % 10 == 0, tell=verified.add).collect()
     expected = nearest(rows, {i for i, _ in rows if i % 10 == 0}, 5)
     got = {(r.query_id, r["rank"], r.vec_id) for r in found}
     pairs = lambda x: {(a, c) for a, _, c in x}
     assert len(pairs(got) & pairs(expected)) >= 0.95 * len(expected) and len(got) == len(expected)
+    assert 0 < verified.value < 0.9 * len({q for q, _, _ in expected}) * len(rows)  # the test stops the search; the more vectors, the sooner
     of = dict(rows)
     for r in found:
         a, b = np.array(of[r.query_id], float), np.array(of[r.vec_id], float)
