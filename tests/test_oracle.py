@@ -36,4 +36,4 @@ def test_compare_sees_a_difference(spark):
 
 def test_entry(spark):
     counts = [sum(r[c] for r in entry(spark).collect()) for c in ("direct", "indirect", "unused")]
-    assert counts == [28, 12, 160]
+    assert counts == [28, 58, 114]

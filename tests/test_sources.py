@@ -290,7 +290,14 @@ def test_walk_and_whole_estate(spark, rows, tmp_path):
     assert {r["workspace"] for r in found.select("workspace").distinct().collect()} == {"ws"}
     assert rows(project.formats(found), "format") == [("bim",), ("tmdl",)]
     staged = tempfile.mkdtemp(prefix="estate-")
-    tables.write_tables(project.read_estate(spark, str(tmp_path)), f"{staged}/estate")
+    whole = project.read_estate(spark, str(tmp_path), f"{staged}/corpus")
+    # Each kind of file is parsed once: the tables read what was parsed, and of members only the word they ask for.
+    for name in ("columns", "measures", "partitions", "hierarchies", "calc_items", "visuals", "bindings"):
+        frame = getattr(whole, name)
+        kind = "visuals" if name in ("visuals", "bindings") else "json-models"
+        assert any(f"corpus-parsed/{kind}" in f for f in frame.inputFiles())
+    assert any(f"{staged}/corpus-parsed/members/word=measure" in f for f in whole.measures.inputFiles())
+    tables.write_tables(whole, f"{staged}/estate")
     estate = Estate.read(spark, f"{staged}/estate")
     status = usage.measure_status(estate)
     assert rows(status, "table_name", "name", "status") == [("T", "Colour", "direct"), ("T", "M", "direct"), ("T", "M", "unused"), ("T", "N", "unused")]
