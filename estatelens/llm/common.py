@@ -48,10 +48,10 @@ def discard(*settled: DataFrame) -> None:
         settled[0].sparkSession._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
+def small_batches(spark: SparkSession, size: int = SLICE_BYTES) -> SparkSession:
     """Bounds what one Arrow batch of texts takes, on both sides, whatever their lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 
@@ -60,15 +60,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut where their texts exceed SLICE_BYTES; a longer single text is a slice of its own."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut where their texts exceed ``most`` bytes; a longer single text is a slice of its own."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text).cast(pa.binary())), 0).to_pylist()
         start = held = 0
         for row, size in enumerate(sizes):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > most:
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += size
