@@ -19,26 +19,29 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelens.llm.bpe import GAPS, ODD_SPACE, SIMPLE, TOKENIZER
+from estatelens.llm.bpe import GAPS, ODD_SPACE, TOKENIZER
 from estatelens.llm.common import settle, shared_path, slices
 
 END_ID = 2
 #: A file is closed when its ids take this many bytes.
 FILE_BYTES = 32 * 1024 * 1024
-#: Entries of a worker's table of encoded pieces.
-REMEMBERED = 300_000
+#: Entries of each of a worker's tables of encoded pieces.
+REMEMBERED = 400_000
+#: bpe.SIMPLE with names, for Arrow.
+LETTERS_SIGNS = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*)(?P<signs>[!-&(-/:;=-@\[-`{-~]*)$"
 #: Texts whose ids are made together.
 TOGETHER = 2_000
 SAMPLE = 64
@@ -169,60 +172,77 @@ def library(path: str):
     return made
 
 
-class Recent(dict):
-    """A table of two generations: when the newer one is full it becomes the older one, so entries in use stay."""
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
 
-    def __init__(self, most: int):
-        self.half, self.before = most // 2, {}
 
-    def turn(self) -> None:
-        if len(self) >= self.half:
-            self.before = dict(self)
-            self.clear()
+class Known:
+    """Texts and their ids, in columns: looking many up at once makes no Python objects."""
 
-    def found(self, key: str) -> bytes | None:
-        got = self.get(key)
-        if got is None and (got := self.before.get(key)) is not None:
-            self[key] = got
-        return got
+    def __init__(self, kind: str):
+        self.texts, self.pool = pa.array([], pa.string()), np.zeros(0, kind)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """Each text's place, -1 where it isn't known."""
+        return pc.fill_null(pc.index_in(texts, value_set=self.texts), -1).to_numpy(zero_copy_only=False)
+
+    def add(self, texts: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.texts = pa.concat_arrays([self.texts, texts])
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids.astype(self.pool.dtype)])
+
+    def keep(self, at: np.ndarray) -> None:
+        """Only the texts at those places stay."""
+        self.pool = gathered(self.pool, self.starts[at], self.sizes[at])
+        self.texts, self.sizes = self.texts.take(pa.array(at)), self.sizes[at]
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
 class Pieces:
-    """Ids of texts as bytes, from the tokenizers library.  No token reaches over white space, so each piece between is encoded once and remembered; of a
-    simple piece (bpe.SIMPLE) neither do they reach from its letters, which count in lower case, to its signs, so these are what the library gets."""
+    """Ids of texts as bytes, from the tokenizers library.  No token reaches over white space, so each distinct piece between is encoded once and remembered;
+    of a simple piece (bpe.SIMPLE) neither do they reach from its letters, which count in lower case, to its signs, so these are what the library gets.
+
+    When more than ``remembered`` are known, those of the present texts stay.
+    """
 
     def __init__(self, path: str, width: int, remembered: int = REMEMBERED):
-        self.library, self.kind = library(path), f"<u{width}"
-        self.known, self.parts = Recent(remembered), Recent(remembered)
-
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        self.known.turn()
-        self.parts.turn()
-        made = [self.known.found(p) for p in pieces]
-        cut = {}
-        for piece in (p for p, ids in zip(pieces, made, strict=True) if ids is None):
-            simple = SIMPLE.fullmatch(piece)
-            cut[piece] = (simple[1].lower(), simple[2]) if simple else (piece, "")
-        parts = [x for x in set().union(*cut.values()) if x and self.parts.found(x) is None]
-        for part, got in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(got.ids, self.kind).tobytes()
-        own = self.parts
-        own[""] = b""
-        for piece, (a, b) in cut.items():
-            self.known[piece] = (own[a] + own[b]) if a and b else own[a or b]
-        return [self.known[p] if ids is None else ids for p, ids in zip(pieces, made, strict=True)]
+        self.library, self.kind, self.remembered = library(path), f"<u{width}", remembered
+        self.pieces, self.parts = Known(self.kind), Known(self.kind)
+
+    def _learn(self, known: Known, texts: pa.Array, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The places of distinct ``texts`` in ``known``, to which those that it lacks are added."""
+        missing = texts.filter(pa.array(known.find(texts) < 0))
+        if len(missing):
+            known.add(missing, *make(missing))
+        at = known.find(texts)
+        if len(known.texts) > self.remembered:
+            known.keep(at)
+            at = np.arange(len(at))
+        return at
+
+    def _by_library(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return sizes, np.fromiter(chain.from_iterable(made), self.kind, int(sizes.sum()))
+
+    def _by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.extract_regex(texts, pattern=LETTERS_SIGNS)
+        letters = pc.if_else(pc.is_valid(cut), pc.utf8_lower(pc.struct_field(cut, "letters")), texts)
+        coded = pa.concat_arrays([letters, pc.fill_null(pc.struct_field(cut, "signs"), "")]).dictionary_encode()
+        places = self._learn(self.parts, coded.dictionary, self._by_library)[coded.indices.to_numpy()].reshape(2, -1)
+        sizes = self.parts.sizes[places]
+        return sizes.sum(axis=0), gathered(self.parts.pool, self.parts.starts[places.T.ravel()], sizes.T.ravel())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [GAPS.split(x) if ODD_SPACE.search(x) else x.split() for x in texts]
         coded = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
-        ids = self._of_pieces(coded.dictionary.to_pylist())
-        at, width = coded.indices.to_numpy(zero_copy_only=False), np.dtype(self.kind).itemsize
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
-        starts, n = np.cumsum(sizes) - sizes, sizes[at]
-        ends = np.cumsum(n)
-        pool = np.frombuffer(b"".join(ids), self.kind)
-        line = pool[np.repeat(starts[at] - (ends - n), n) + np.arange(int(n.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in cut])])]
+        places = self._learn(self.pieces, coded.dictionary, self._by_parts)[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.pieces.sizes[places]
+        line = gathered(self.pieces.pool, self.pieces.starts[places], sizes)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(c) for c in cut])])]
         return [line[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
 
 
