@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Beside a table's files, out of sight of readers of the folder.
+MANIFEST = "_manifest"
 SCHEMAS = {
     "models": "model_id string, name string, description string, culture string, source_query_culture string, cultures array<string>,"
     " compatibility_level int, discourage_implicit boolean, value_filter string, data_source_version string",
@@ -83,10 +86,20 @@ class Estate:
         return cls(spark, {name: table(name, view) for name, view in views.items()})
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> Estate:
-        """An estate saved with :func:`estatelens.sinks.tables.write_tables`."""
+    def read(cls, spark: SparkSession, folder: str, models: Sequence[str] | None = None) -> Estate:
+        """An estate saved with :func:`estatelens.sinks.tables.write_tables`; of ``models`` alone, only files whose range holds one of them are opened."""
+
+        def whole(name: str) -> DataFrame:
+            return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+
+        def some(name: str) -> DataFrame:
+            manifest = spark.read.parquet(f"{folder}/{name}/{MANIFEST}")
+            inside = reduce(Column.__or__, [F.lit(m).between(F.col("low"), F.col("high")) for m in models], F.lit(False))
+            files = [r["file"] for r in manifest.where(inside).select("file").collect()]  # a few files for each model asked for
+            found = spark.read.schema(SCHEMAS[name]).parquet(*files) if files else spark.createDataFrame([], SCHEMAS[name])
+            return found.where(F.col("model_id").isin(list(models)))
 
         def table(name: str) -> Callable[[], DataFrame]:
-            return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+            return lambda: whole(name) if models is None else some(name)
 
         return cls(spark, {name: table(name) for name in SCHEMAS})

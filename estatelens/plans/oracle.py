@@ -560,6 +560,7 @@ O["k01_csv_columns"] = f"""select c.name as "Column", c.table_name as "Table", c
  , c.format_string as "Format String", c.display_folder as "Display Folder", c.sort_by_column as "Sort By Column", c.description as "Description" from x_columns c join o_cstatus s on s.table_name=c.table_name and s.name=c.name"""
 O["k01_csv_relationships"] = f"""select from_table as "From Table", from_column as "From Column", to_table as "To Table", to_column as "To Column", from_card as "From Cardinality", to_card as "To Cardinality", cross_filter as "Cross Filter", {yn('is_active')} as "Active" from x_rels"""
 O["k01_csv_source_map"] = f"""select "column" as "Column", table_name as "Table", data_type as "Data Type", mode as "Mode", source_type as "Source Type", source_location as "Source Location", {yn('is_hidden')} as "Hidden", {yn('is_calculated')} as "Calculated" from o_srcmap"""
+O["k02_read_back"] = "select table_name, name, body, description from e_measures"
 O["k03_markdown_measures"] = f"select name, '| '||{cell('name')}||' | '||{cell('table_name')}||' | '||{cell('status')}||' | '||{cell('format')}||' | '||{cell('description')}||' |' as line from o_lite"
 O["k03_document_files"] = f"""select doc, line, count(*) as times, cast(1 as bigint) as files from (
  select 'Measures' as doc, unnest(['## Measures', '', '| Name | Table | Status | Format | Description |', '|---|---|---|---|---|']) as line

@@ -17,7 +17,7 @@ from estatelens.operators import graph, impact, lineage, links, messages, pages,
 from estatelens.operators.numbering import capped, first_per_group, number_rows
 from estatelens.plans import documents, render, reports
 from estatelens.session import checkpoint, checkpoint_folder, tune
-from estatelens.sinks import csv
+from estatelens.sinks import csv, tables
 from estatelens.sinks import markdown as md
 from estatelens.sources import bim, blocks, files, project, report
 
@@ -402,12 +402,20 @@ Q["k01_csv_measures"] = lambda c: csv.measure_rows(c.s, c.mstatus, "re", unused=
 Q["k01_csv_columns"] = lambda c: csv.column_rows(c.e, c.cstatus)
 Q["k01_csv_relationships"] = lambda c: csv.relationship_rows(c.e.relationships)
 Q["k01_csv_source_map"] = lambda c: csv.source_map_rows(impact.source_map(c.s, c.sources, c.summary))
+Q["k02_read_back"] = lambda c: saved(c, "measures", c.e.measures).select("table_name", "name", "body", "description")
 Q["k03_markdown_measures"] = lambda c: reports.measures_lite(c.s, c.mstatus).select(
     "name", md.table_row(col("name"), col("table_name"), col("status"), col("format"), col("description")).alias("line")
 )
 Q["k03_document_files"] = lambda c: written_documents(c, documents.measures_doc(c.s, c.mstatus, linked=True).unionByName(documents.functions_doc(c.e)))
 
 
+def saved(c: Context, name: str, df: DataFrame) -> DataFrame:
+    """A table of the estate written to the shared folder and read back through its manifest."""
+    folder = f"{checkpoint_folder(c.spark)}/tables-{uuid.uuid4().hex}"
+    tables.write_table(df, f"{folder}/{name}")
+    return getattr(Estate.read(c.spark, folder, ["m0"]), name)
+
+
 def written_documents(c: Context, lines: DataFrame) -> DataFrame:
     """The documents written to the shared folder and read back, line by line, with the number of files each takes."""
     folder = f"{checkpoint_folder(c.spark)}/markdown-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from estatelens.estate import SCHEMAS, Estate
 from estatelens.functions import etl
 from estatelens.operators import graph, impact, links, numbering, refs
-from estatelens.sinks import markdown
+from estatelens.sinks import markdown, tables
 
 
 def edges_of(spark, pairs):
@@ -168,3 +168,24 @@ def test_brackets_of_any_depth(spark, depth):
     steps = [(f"Table.SelectColumns(Nav, {listed}, \"later\")", 'A, B, C "x"'), (f"Table.RemoveColumns({deep}, {{}}, {listed})", ""), ('Table.SelectColumns(Nav, {"open", {"B"}', "open, B"), ("Table.SelectColumns(Nav)", "")]
     frame = spark.createDataFrame([(t,) for t, _ in steps], "t string")
     assert [r[0] for r in frame.select(etl.step_summary(F.col("t"), F.lit("projection"))).collect()] == [want for _, want in steps]
+
+
+def test_one_model_opens_few_files(spark, rows, tmp_path):
+    """400 models, one of them with a third of all rows: files go with the rows, and the manifest tells which to open."""
+    given = [(f"m{i % 400:03d}" if i % 3 else "m007", "T", f"n{i}", "1", "", "", "") for i in range(9000)]
+    measures = spark.createDataFrame(given, SCHEMAS["measures"])
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_table(measures, str(tmp_path / "measures"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = list((tmp_path / "measures").glob("*.parquet"))
+    assert 8 <= len(files) <= 13
+    for model in ("m001", "m007", "m399"):
+        one = Estate.read(spark, str(tmp_path), [model]).measures
+        assert rows(one, "name") == sorted(((r[2],) for r in given if r[0] == model), key=str)
+        assert len(one.inputFiles()) <= (6 if model == "m007" else 2)
+    assert Estate.read(spark, str(tmp_path), ["none"]).measures.count() == 0
+    assert rows(Estate.read(spark, str(tmp_path)).measures, "model_id", "name") == rows(measures, "model_id", "name")
