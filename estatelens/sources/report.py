@@ -24,8 +24,7 @@ VISUAL = (
     f" query: struct<queryState: map<string, struct<projections: array<struct<field: {FIELD}>>>>>>,"
     f" filterConfig struct<filters: array<struct<field: {FIELD}>>>"
 )
-SECTION = 1 << 40  # projections, filters and formatting follow each other in a visual's binding numbers
-SLOT = 1 << 20
+FORMATTING = 1 << 40  # formatting follows wells and filters in a visual's binding numbers, which are positions in arrays, so below 2**31
 LEVELS = 3
 
 
@@ -107,29 +106,29 @@ def _bindings(df: DataFrame, role: Column, field: Column, seq: Column) -> DataFr
     return found.where(F.col("_f").isNotNull()).select("report", "seq", "page_id", "visual_id", "visual_type", "title", "role", "_f.*")
 
 
-def _placed(role: Column, seq: Column, field: Column) -> Column:
-    return F.struct(role.alias("role"), seq.cast("long").alias("seq"), field.alias("field"))
+def _placed(role: Column, field: Column) -> Column:
+    return F.struct(role.alias("role"), field.alias("field"))
 
 
 def _in_wells() -> Column:
     """Fields in the wells of a visual, in order; the well is the role."""
 
-    def well(entry: Column, at: Column) -> Column:
-        return F.transform(entry["value"]["projections"], lambda p, n: _placed(entry["key"], at.cast("long") * SLOT + n, p["field"]))
+    def well(entry: Column) -> Column:
+        return F.transform(entry["value"]["projections"], lambda p: _placed(entry["key"], p["field"]))
 
     wells = F.filter(F.map_entries("_v.visual.query.queryState"), lambda e: e["value"]["projections"].isNotNull())
     return F.flatten(F.transform(wells, well))
 
 
 def _in_filters() -> Column:
-    return F.transform("_v.filterConfig.filters", lambda p, n: _placed(F.lit("Filter"), F.lit(SECTION) + n, p["field"]))
+    return F.transform("_v.filterConfig.filters", lambda p: _placed(F.lit("Filter"), p["field"]))
 
 
 def _exploded(visuals: DataFrame, *places: Column) -> DataFrame:
-    """All places in one pass, so a visual is parsed once for them."""
-    none = F.array().cast(f"array<struct<role: string, seq: bigint, field: {FIELD}>>")
-    each = visuals.select(*VISUAL_KEYS, F.explode(F.concat(*[F.coalesce(p, none) for p in places])).alias("_p"))
-    return _bindings(each, F.col("_p.role"), F.col("_p.field"), F.col("_p.seq"))
+    """All places in one pass, so a visual is parsed once for them; numbered by their position in all of them."""
+    none = F.array().cast(f"array<struct<role: string, field: {FIELD}>>")
+    each = visuals.select(*VISUAL_KEYS, F.posexplode(F.concat(*[F.coalesce(p, none) for p in places])).alias("_seq", "_p"))
+    return _bindings(each, F.col("_p.role"), F.col("_p.field"), F.col("_seq"))
 
 
 def projection_bindings(visuals: DataFrame) -> DataFrame:
@@ -160,7 +159,7 @@ def formatting_bindings(visuals: DataFrame) -> DataFrame:
         level = texts.withColumn("_node", F.parse_json("_node"))
         for _ in range(LEVELS):
             expr = F.from_json(F.to_json(F.try_variant_get("_node", "$.expr", "variant")), FIELD)
-            here = _bindings(level, F.col("_role"), expr, F.lit(2 * SECTION) + F.col("_at").cast("long") * SLOT)
+            here = _bindings(level, F.col("_role"), expr, F.lit(FORMATTING) + F.col("_at"))
             found = here if found is None else found.unionByName(here)
             level = spark.sql("select v.* except (_node), e.value as _node from {v} v, lateral variant_explode(v._node) e", v=level)
         if seen.get["n"] == 0:
