@@ -233,6 +233,22 @@ def test_licence_expressions():
         assert licenses.evaluate(broken) is None
 
 
+def test_licence_identifiers(spark):
+    assert licenses.resolved("gpl-2.0+") == ("gpl-2.0-or-later", licenses.TAG_SURE) and licenses.resolved("gpl-2.0")[0] == "gpl-2.0"
+    assert licenses.resolved("apache-2.0+")[0] == "apache-2.0+" and licenses.resolved("licenseref-own")[0] == "licenseref-own"
+    assert licenses.resolved("whatever") == ("unknown:whatever", licenses.UNKNOWN_SURE)
+    assert licenses.resolved("gpl-2.0 with classpath-exception-2.0")[0] == "gpl-2.0 with classpath-exception-2.0"
+    assert licenses.resolved("gpl-3.0-only with my-own")[0] == "gpl-3.0-only with unknown:my-own"
+    texts = [
+        "SPDX-License-Identifier: (GPL-2.0+ OR MIT) AND Nonsense-9", "the GNU Lesser General Public License, version 2.1", "CC BY-NC-SA 4.0", "Mozilla Public License, version 2.0",
+        "GNU General Public License version 3 and GPLv2",
+    ]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert rows[0].labels == "gpl-2.0-or-later,mit,unknown:nonsense-9" and not rows[0].expressions[0].permissive
+    assert {"lgpl", "lgpl-2.1"} <= set(rows[1].labels.split(",")) and "cc-by-nc-sa-4.0" in rows[2].labels and "mpl-2.0" in rows[3].labels
+    assert {"gpl-3.0", "gpl-2.0", "gpl"} <= set(rows[4].labels.split(","))
+
+
 def test_licence_scan(spark, awkward, nothing, small):
     texts = [
         "CC-BY, cc by cc by!", "GNU General Public\nLicense; all rights reserved", "// SPDX-License-Identifier: MIT OR (GPL-2.0 AND ISC)\nx", "permission is hereby granted, free of charge",
